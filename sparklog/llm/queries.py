@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality, secret_scan, simhash, token_output, url_filter
+from . import decontaminate, license_scan, packing, quality, secret_scan, simhash, token_output, url_filter, vector_dedup
 from .shared import doc_hash, shared_dir
 
 
@@ -42,6 +42,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(spark, path)
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = doc_hash(F.col("doc_id")) % 4 == 2
@@ -54,6 +58,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that it contains, near enough."""
+    found = decontaminate.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    one = found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return one.withColumn("similarity", F.round(1 - F.col("distance") / F.col("item_words"), 6)).drop("item_words")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(_table(spark, sf_dir, "documents"), tokenizer(), 1)
 
@@ -65,5 +76,34 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_token_output, op5_quality, op6_simhash, op8_packing, op9_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_token_output, op4_vector_dedup, op5_quality, op6_simhash, op7_decontaminate, op8_packing, op9_secret_scan)}
+#: op1: host, path, rule and verdict with classes of aliases reached over canonical links and
+#: redirects. op4: all pairs.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": r"""
+WITH RECURSIVE rules(action, host, path) AS (VALUES ('block','net','/'),('allow','example.net','/en/'),('block','example.com','/de/'),('allow','org','/fr/')),
+p AS (SELECT page_id, url, html, CASE WHEN instr(url,'://')>0 THEN substr(url, instr(url,'://')+3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, url, html, translate(regexp_extract(rest,'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) AS path,
+  CASE WHEN instr(url,'://')>0 THEN translate(split_part(url,'://',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') END AS scheme, regexp_extract(rest,'^[^/?#]*([^#]*)',1) AS tail FROM p),
+raw AS (SELECT page_id, scheme, host, unnest(list_concat(
+  regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1))) AS t FROM u WHERE scheme IS NOT NULL),
+e AS (SELECT u.scheme||'://'||u.host||u.tail AS a, regexp_replace(CASE WHEN instr(t,'://')>0 THEN t WHEN t LIKE '//%' THEN u.scheme||':'||t WHEN t LIKE '/%' THEN u.scheme||'://'||u.host||t END, '#.*', '') AS b FROM raw JOIN u USING (page_id)),
+s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+n AS (SELECT DISTINCT b AS node, regexp_extract(split_part(b,'://',2),'^[^/?#]*') AS host, regexp_extract(split_part(b,'://',2),'^[^/?#]*([^?#]*)',1) AS path FROM reach),
+na AS (SELECT node, arg_max(action, length(r.host||r.path)) AS action FROM n JOIN rules r ON (n.host=r.host OR n.host LIKE '%.'||r.host) AND starts_with(n.path, r.path) GROUP BY node),
+cls AS (SELECT reach.a AS node, CASE WHEN bool_or(action='allow') THEN 'allow' WHEN bool_or(action='block') THEN 'block' END AS said FROM reach JOIN na ON na.node=reach.b GROUP BY reach.a),
+own AS (SELECT page_id, arg_max(r.host||r.path, length(r.host||r.path)) AS rule, arg_max(action, length(r.host||r.path)) AS action FROM u JOIN rules r ON (u.host=r.host OR u.host LIKE '%.'||r.host) AND starts_with(u.path, r.path) GROUP BY page_id)
+SELECT u.page_id, coalesce(u.host,'') AS host, coalesce(u.path,'') AS path, own.rule, coalesce(own.action, cls.said, 'allow') AS verdict,
+  CASE WHEN own.action IS NOT NULL THEN 'rule' WHEN cls.said IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM u LEFT JOIN own USING (page_id) LEFT JOIN cls ON cls.node = u.scheme||'://'||u.host||u.tail""",
+    "op4_vector_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding)=len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) AND len(list_filter(embedding, lambda y: y<>0))>0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label=b.label AND a.vec_id<>b.vec_id AND len(a.x)=len(b.x) AND list_cosine_similarity(a.x,b.x)>=0.98),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b=l.a),
+c AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n,0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(c.b, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN c ON c.a=e.vec_id LEFT JOIN n ON n.a=e.vec_id""",
+}
