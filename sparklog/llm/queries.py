@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, secret_scan, simhash, token_output, url_filter, vector_dedup
+from . import decontaminate, hpyp, license_scan, packing, quality, secret_scan, simhash, token_output, url_filter, vector_dedup
 from .shared import doc_hash, shared_dir
 
 
@@ -76,7 +76,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_token_output, op4_vector_dedup, op5_quality, op6_simhash, op7_decontaminate, op8_packing, op9_secret_scan)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_hash(F.col("doc_id")) % 10 == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("learn"))
+    return hpyp.score(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_token_output, op4_vector_dedup, op5_quality, op6_simhash, op7_decontaminate, op8_packing, op9_secret_scan, op10_lm_score)}
 #: op1: host, path, rule and verdict with classes of aliases reached over canonical links and
 #: redirects. op4: all pairs.
 ORACLE_SQL: dict[str, str] = {
