@@ -46,6 +46,10 @@ def _located(text: Column, pattern: str, group: int, rank: int, kind: str) -> Co
     return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
 
 
+def _longer(least: int):
+    return lambda r: r["size"] >= least
+
+
 def window_entropy(s: Column, width: int) -> Column:
     """The largest Shannon entropy, in bits, over windows of so many characters of an ASCII
     string; a shorter string is one window."""
@@ -90,7 +94,8 @@ def scan(docs: DataFrame, text: str = "text", classes=CLASSES, allow: str = ALLO
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         # Shorter hex runs only fail; the other kinds' failing matches also use up text.
         pattern = r"(?<![0-9a-f])[0-9a-f]{16,}+" if kind == "hex" else pattern
-        got[kind] = F.when(F.col(f"_g_{kind}"), cut(F.filter(_located(F.col("_t"), pattern, group, rank, kind), lambda r, n=least: r["size"] >= n))).otherwise(none)
+        found = F.filter(_located(F.col("_t"), pattern, group, rank, kind), _longer(least))
+        got[kind] = F.when(F.col(f"_g_{kind}"), cut(found)).otherwise(none)
     df = df.withColumn("base_spans", F.array_sort(F.concat(*[got[k] for k, *_ in KINDS])))
     base = F.col("base_spans")
     loose = F.filter(_located(F.col("_t"), CANDIDATE, 0, len(KINDS), ""), lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])) & ~r["match"].rlike(allow))
