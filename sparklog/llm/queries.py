@@ -92,9 +92,11 @@ p AS (SELECT page_id, url, html, CASE WHEN instr(url,'://')>0 THEN substr(url, i
 u AS (SELECT page_id, url, html, translate(regexp_extract(rest,'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) AS path,
   CASE WHEN instr(url,'://')>0 THEN translate(split_part(url,'://',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') END AS scheme, regexp_extract(rest,'^[^/?#]*([^#]*)',1) AS tail FROM p),
 raw AS (SELECT page_id, scheme, host, unnest(list_concat(
-  regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-  regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1))) AS t FROM u WHERE scheme IS NOT NULL),
-e AS (SELECT u.scheme||'://'||u.host||u.tail AS a, regexp_replace(CASE WHEN instr(t,'://')>0 THEN t WHEN t LIKE '//%' THEN u.scheme||':'||t WHEN t LIKE '/%' THEN u.scheme||'://'||u.host||t END, '#.*', '') AS b FROM raw JOIN u USING (page_id)),
+  list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1)))) AS t FROM u WHERE scheme IS NOT NULL),
+ft AS (SELECT u.scheme||'://'||u.host||u.tail AS a, CASE WHEN instr(t,'://')>0 THEN t WHEN t LIKE '//%' THEN u.scheme||':'||t WHEN t LIKE '/%' THEN u.scheme||'://'||u.host||t END AS t FROM raw JOIN u USING (page_id)),
+fr AS (SELECT a, t, substr(t, instr(t,'://')+3) AS rest FROM ft WHERE instr(t,'://')>0),
+e AS (SELECT a, translate(split_part(t,'://',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')||'://'||translate(regexp_extract(rest,'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')||regexp_extract(rest,'^[^/?#]*([^#]*)',1) AS b FROM fr),
 s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
 reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
 n AS (SELECT DISTINCT b AS node, regexp_extract(split_part(b,'://',2),'^[^/?#]*') AS host, regexp_extract(split_part(b,'://',2),'^[^/?#]*([^?#]*)',1) AS path FROM reach),
