@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 
 from .shared import memo
 
 #: Pieces that a worker's memo holds before it forgets those seen once.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
 #: A piece may be cut off only between characters of these ranges (visible, none a blank).
-_SAFE = "!-~À-ɏ"
+_SAFE = "!-~À-ȿ"
 _EDGES = re.compile(rf"(?:[{_SAFE}](?:.*[{_SAFE}])?)\Z", re.S)
 
 
@@ -30,6 +30,16 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _may_cut(pieces: list[str]) -> np.ndarray:
+    """Whether each piece (none has a blank) begins and ends with a safe character."""
+    raw = np.frombuffer((" " + " ".join(pieces) + " ").encode(), np.uint8)
+    blank = np.flatnonzero(raw == 32)
+    first, last, before = raw[blank[:-1] + 1], raw[blank[1:] - 1], raw[blank[1:] - 2]
+    begins = (first > 32) & (first < 127) | (first >= 0xC3) & (first <= 0xC8)
+    ends = (last > 32) & (last < 127) | (last >= 128) & (before >= 0xC3) & (before <= 0xC8)
+    return begins & ends
+
+
 class Encoder:
     """Texts to ids (uint32 arrays); strings of special tokens are ordinary text."""
 
@@ -57,23 +67,22 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def _blank_led(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece after a blank: runs of pieces are encoded as one text, and the
-        byte lengths of the ids tell where a piece ends."""
-        out = []
-        for i in range(0, len(pieces), 500):
-            run = pieces[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(p.encode()) + 1 for p in run])
-            cut = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for c in (cut * 4).tolist():
-                out.append(raw[at:c])
-                at = c
-        return out
+    def _blank_led(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each piece after a blank, one after another, and how many each has. Runs of
+        pieces are encoded as one text; the byte lengths of the ids tell where a piece ends."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), 1000):
+            text = " " + " ".join(pieces[i : i + 1000])
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            cut = np.searchsorted(np.cumsum(self.size[got]), ends) + 1
+            ids.append(got)
+            counts.append(np.diff(cut, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _forget(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = defaultdict()
         self.ids = np.zeros(0, np.uint32)  # of all pieces seen, one after another
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # count -1: not to be cut off
         self.hits = np.zeros(0, np.int64)
@@ -90,17 +99,17 @@ class Encoder:
         self.ids = self.ids[_runs(self.start[keep], size)]
         self.start, self.count, self.hits = np.cumsum(size) - size, count, self.hits[keep] // 2
         pieces = list(self.seen)
-        self.seen = {pieces[i]: k for k, i in enumerate(keep.tolist())}
+        self.seen = defaultdict(None, {pieces[i]: k for k, i in enumerate(keep.tolist())})
 
     def _learn(self, new: list[str]) -> None:
-        good = [_EDGES.match(p) is not None for p in new]
-        raw = iter(self._blank_led([p for p, ok in zip(new, good) if ok]))
-        parts = [next(raw) if ok else None for ok in good]
-        count = np.array([-1 if x is None else len(x) // 4 for x in parts], np.int64)
+        good = _may_cut(new)
+        ids, counts = self._blank_led(list(compress(new, good.tolist())))
+        count = np.full(len(new), -1, np.int64)
+        count[good] = counts
         size = np.maximum(count, 0)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(x for x in parts if x), dtype="<u4")])
+        self.ids = np.concatenate([self.ids, ids])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -122,13 +131,11 @@ class Encoder:
         seen = self.seen
         before = len(seen)
         cut = [t.split(" ") for t in texts]
-        number = defaultdict(count(before).__next__, seen)
+        seen.default_factory = count(before).__next__  # a new piece takes the next number
         length = np.array([len(c) - 1 for c in cut])
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cut)), np.int64, int(length.sum()))
-        if len(number) > before:
-            new = list(islice(number, before, None))
-            self._learn(new)
-            seen.update(zip(new, range(before, len(number))))
+        at = np.fromiter(map(seen.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cut)), np.int64, int(length.sum()))
+        if len(seen) > before:
+            self._learn(list(islice(seen, before, None)))
         self.hits += np.bincount(at, minlength=len(self.hits))
         size = self.count[at]
         ends = np.cumsum(length)
