@@ -15,14 +15,16 @@ BLOCK = 256
 COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 
 
-_LENGTHS = np.array([i.bit_length() for i in range(1 << 8)], np.uint8)
+_LENGTHS = np.repeat(np.arange(17, dtype=np.uint8), [1] + [1 << i for i in range(16)])  # of 16-bit values
 
 
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(v), np.uint8)
-    for shift in range(0, 64 if v.max() >> np.uint64(32) else 32, 8):
-        byte = ((v >> np.uint64(shift)) & np.uint64(255)).astype(np.uint8)
-        np.copyto(out, _LENGTHS[byte] + np.uint8(shift), where=byte > 0)
+    out = _LENGTHS[v.astype(np.uint16)]
+    top = int(v.max())
+    for shift in (16, 32, 48):
+        if top >> shift:
+            part = (v >> np.uint64(shift)).astype(np.uint16)
+            np.copyto(out, _LENGTHS[part] + np.uint8(shift), where=part > 0)
     return out
 
 
