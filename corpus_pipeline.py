@@ -21,9 +21,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates. Of repeated rows with
-    one doc_id one stays; rows without a doc_id can't be told apart and stay."""
-    groups = simhash.near_groups(docs)
+    """The document of smallest doc_id of each group of near duplicates: fingerprints of whole
+    texts at most 4 bits apart, or sets of 5-word shingles of similarity 0.8 or more. Of
+    repeated rows with one doc_id one stays; rows without a doc_id can't be told apart and
+    stay."""
+    groups = simhash.similar_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -65,7 +65,7 @@ def ball(bits: int, radius: int) -> int:
 def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     """Links of the variants that begin with one prefix. low: bits after the prefix; left: how
     many of them may still be flipped; one of parts shares the variants by a hash."""
-    fps = pdf["fp"].to_numpy().view(np.uint64)
+    fps, ids = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy()
     left = pdf["left"].to_numpy()
     parts, part = int(pdf["parts"].iloc[0]), int(pdf["part"].iloc[0])
     keep = np.uint64((1 << low) - 1)
@@ -92,45 +92,52 @@ def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
     at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
     hit = np.flatnonzero(twice[at] == v)
-    bucket, member = at[hit], fps[own[hit]]
-    order = np.lexsort((member, bucket))
-    bucket, member = bucket[order], member[order]
+    bucket, row = at[hit], own[hit]
+    order = np.lexsort((ids[row], bucket))
+    bucket, row = bucket[order], row[order]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    least = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    near = (member != least) & (np.bitwise_count(member ^ least) <= 2 * radius)
-    links = np.unique(np.stack([member[near], least[near]], 1), axis=0)
-    return pd.DataFrame({"a": links[:, 0].view(np.int64), "b": links[:, 1].view(np.int64)})
+    least = row[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    near = (ids[row] != ids[least]) & (np.bitwise_count(fps[row] ^ fps[least]) <= 2 * radius)
+    links = np.unique(np.stack([ids[row[near]], ids[least[near]]], 1), axis=0)
+    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (one long column), enough of them that any
-    two at most radius bits apart are in one component; never a link farther apart."""
-    fp = fps.columns[0]
+def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between ids of (table, fp, id), all longs, within each table: of any two
+    fingerprints of `width` bits at most radius bits apart, both are linked to the smallest id
+    of every variant that they share."""
     half = radius // 2
-    n = fps.count()
-    bits = min(MAX_PREFIX, max(4, int(np.ceil(np.log2(max(1, n * ball(64, half) / TASK_VARIANTS))))))
-    low = 64 - bits
-    own = F.shiftrightunsigned(F.col(fp), low)
-    # Variants of each prefix, from the histogram of the fingerprints' own prefixes.
-    seen = np.zeros(1 << bits, np.int64)
-    for r in fps.groupBy(own.alias("p")).agg(F.count("*").alias("n")).collect():
-        seen[r.p] = r.n
-    load = np.zeros(1 << bits, np.int64)
+    n = rows.groupBy("table").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = min(MAX_PREFIX, max(4, int(np.ceil(np.log2(max(1, n * ball(width, half) / TASK_VARIANTS))))))
+    low = width - bits
+    own = F.shiftrightunsigned(F.col("fp"), low)
+    # Variants of each prefix, from the histograms of the fingerprints' own prefixes.
+    seen: dict[int, np.ndarray] = {}
+    for r in rows.groupBy("table", own.alias("p")).agg(F.count("*").alias("n")).collect():
+        seen.setdefault(r.table, np.zeros(1 << bits, np.int64))[r.p] = r.n
     masks = [(m, m.bit_count()) for m in _masks(bits, half)]
-    for m, k in masks:
-        load += seen[np.arange(1 << bits) ^ m] * ball(low, half - k)
-    heavy = np.flatnonzero(load > 2 * TASK_VARIANTS)
-    many = {int(p): int(-(-load[p] // TASK_VARIANTS)) for p in heavy}
+    many: dict[int, int] = {}
+    for table, hist in seen.items():
+        load = sum(hist[np.arange(1 << bits) ^ m] * ball(low, half - k) for m, k in masks)
+        many |= {(table << bits) + int(p): int(-(-load[p] // TASK_VARIANTS)) for p in np.flatnonzero(load > 2 * TASK_VARIANTS)}
     parts = F.lit(1)
     if many:
-        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in (kv[0], kv[1])]), F.col("prefix").cast("int")), parts)
+        place = F.shiftleft(F.col("table"), bits) + F.col("prefix")
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in many.items() for x in (k, v)]), place), parts)
     to = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(half - k).alias("left")) for m, k in masks]))
-    rows = fps.select(F.col(fp).alias("fp"), own.alias("own"), to.alias("to")).select("fp", F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = rows.groupBy("prefix", "part").applyInPandas(lambda pdf: _bucket_links(pdf, low, half), "a long, b long")
+    dealt = rows.select("table", "fp", "id", own.alias("own"), to.alias("to")).select("table", "fp", "id", F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
+    dealt = dealt.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = dealt.groupBy("table", "prefix", "part").applyInPandas(lambda pdf: _bucket_links(pdf, low, half), "a long, b long")
     return found.distinct()
 
 
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (one long column), enough of them that any
+    two at most radius bits apart are in one component; never a link farther apart."""
+    fp = F.col(fps.columns[0])
+    return ball_links(fps.select(F.lit(0).cast("long").alias("table"), fp.alias("fp"), fp.alias("id")), 64, radius)
+
+
 def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links) of every row.
 
@@ -143,3 +150,82 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Da
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = staged(rooted.join(ids, "root").select("fp", "component_id"), "simhash")
     return own.join(table, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For similarity of shingle sets: words of a shingle, least Jaccard similarity, fingerprints of
+#: a set, their bits, and the estimate from all bits below which a pair is not verified.
+SET_SHINGLE, SIMILARITY, TABLES, WIDTH, SCREEN = 5, 0.8, 16, 40, 0.68
+
+
+def _shingle_set(text: str) -> np.ndarray:
+    words = text.encode().lower().split()
+    n = max(1, len(words) - SET_SHINGLE + 1) if words else 0
+    parts = map(b" ".join, zip(*(words[i:] for i in range(SET_SHINGLE)))) if len(words) >= SET_SHINGLE else [b" ".join(words)] * n
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.dtype("<u8"), n))
+
+
+def _set_prints(h: np.ndarray) -> list[int]:
+    """TABLES fingerprints of WIDTH bits of a set of hashes."""
+    total = np.zeros(TABLES * WIDTH, np.int64)
+    more = (np.arange(-(-TABLES * WIDTH // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for i in range(0, len(h), 16384):
+        x = h[i : i + 16384, None] + more
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1)[:, : TABLES * WIDTH].sum(0, dtype=np.int32)
+    bits = (2 * total > len(h)).reshape(TABLES, WIDTH)
+    return (bits @ (1 << np.arange(WIDTH, dtype=np.int64))).tolist()
+
+
+def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable) of every row, linking what
+    near_groups() links and also texts whose sets of 5-word shingles are similar.
+
+    Candidates are pairs that agree in a ball of any of TABLES short fingerprints of the sets;
+    an estimate from all their bits screens them, and the exact Jaccard similarity decides.
+    Texts of one shingle set are one class. Texts without words are one class."""
+
+    def described(batches):
+        for pdf in batches:
+            rows = []
+            for known, doc, t in zip(pdf["known"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                h = _shingle_set(t)
+                key = xxh64_intdigest(h.tobytes(), SEED)
+                rows.append((doc if known else None, np.uint64(fingerprint(t)).astype(np.int64), np.uint64(key).astype(np.int64), _set_prints(h), np.unique((h & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes()))
+            out = pd.DataFrame(rows, columns=["doc_id", "fp", "key", "prints", "grams"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    src = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = staged(src.mapInPandas(described, "doc_id long, fp long, key long, prints array<long>, grams binary"), "simhash")
+    reps = staged(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints")), "simhash")
+    rows = reps.select("key", F.posexplode("prints").alias("table", "fp")).select(F.col("table").cast("long").alias("table"), "fp", F.col("key").alias("id"))
+    pairs = ball_links(rows, WIDTH, RADIUS)
+    one = lambda k: reps.select(F.col("key").alias(k), F.col("prints").alias(f"p{k}"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    cosine = F.cos(apart * (np.pi / (TABLES * WIDTH)))
+    pairs = staged(pairs.join(one("a"), "a").join(one("b"), "b").where(cosine / (2 - cosine) >= SCREEN).select("a", "b"), "simhash")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = staged(own.select("key", "grams").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "simhash")
+
+    def verified(batches):
+        for pdf in batches:
+            x = [np.frombuffer(g, "<u4") for g in pdf["ga"]]
+            y = [np.frombuffer(g, "<u4") for g in pdf["gb"]]
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)])
+            size = np.array([len(p) + len(q) for p, q in zip(x, y)]) - both
+            yield pdf.loc[both >= similarity * size, ["a", "b"]]
+
+    of = lambda k: sets.select(F.col("key").alias(k), F.col("grams").alias(f"g{k}"))
+    similar = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ga", "gb").mapInPandas(verified, "a long, b long")
+    # Fingerprints of whole texts, as links between the classes that have them.
+    prints = staged(own.groupBy("fp").agg(F.min("key").alias("least")), "simhash")
+    same = own.join(prints, "fp").select(F.col("key").alias("a"), F.col("least").alias("b")).where("a <> b")
+    near = links(prints.select("fp"))
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(staged(similar.unionByName(same).unionByName(near).where("a <> b").distinct(), "simhash"))
+    rooted = reps.join(roots, reps.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    table = staged(rooted.join(ids, "root").select("key", "component_id"), "simhash")
+    return own.select("doc_id", "key").join(table, "key").select("doc_id", "component_id")

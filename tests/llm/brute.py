@@ -73,6 +73,18 @@ def op6(rows):
     return {(i, f"{fp[i]:016x}", comp[i]) for i in ids}
 
 
+def similar(rows):
+    """component of each doc_id, linked by fingerprints or by sets of 5-word shingles."""
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    links = [(d, c) for d, _, c in op6(rows)]
+    ids = sorted(sets)
+    links += [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)]
+    return classes(ids, links)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
