@@ -70,6 +70,12 @@ def mask_control(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x1F]", " ")
 
 
+def wrap(c: Column, width: int) -> Column:
+    """Pieces of so many characters, the last one shorter; an empty text has none."""
+    n = F.ceil(F.length(c) / width).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(c, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+
+
 def expand_tabs(c: Column) -> Column:
     """Tabs to the next multiple of eight, other characters below blank as question marks."""
     parts = F.split(F.regexp_replace(c, r"[\x00-\x08\x0A-\x1F]", "?"), "\t")

@@ -17,7 +17,9 @@ from .operators.parse import evaluate, filter_entries, parse, parse_rows, segmen
 from .plans.builtins import all_builtins, builtin
 from .plans.template import Template
 from .plans.template import parse as parse_template
-from .sources.lines import lines_from_rows, lines_from_text
+from .sources.lines import lines_from_rows, lines_from_text, read_lines
+from .sources.shared import shared_folder
+from .streaming.tail import follow, tail_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -458,3 +460,42 @@ def visible_counts(spark, sf):
     t = builtin("serilog")
     rows = visible(parse(event_lines(spark, sf, "serilog"), t, False), t, "level == ERR", False)
     return rows.groupBy("visible").agg(F.count("*").alias("n"))
+
+
+def _written(spark: SparkSession, sf: str) -> str:
+    """Events as Python logging lines in text files; errors have a continuation."""
+    at = shared_folder(spark, "lines")
+    more = "CASE WHEN event_type = 'error' THEN concat('\n  event ', event_id) ELSE '' END"
+    rows = _table(spark, sf, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    rows.select(F.expr(f"concat({SHAPES['python']}, ' event=', event_id, {more})").alias("value")).write.text(at)
+    return at
+
+
+@_register("scan_files", _sql("SELECT event_id FROM e WHERE pylvl = 'ERROR' UNION ALL SELECT event_id FROM e WHERE pylvl = 'ERROR'"))
+def scan_files(spark, sf):
+    """Files are read, numbered, parsed and filtered; an error's two lines have its event."""
+    t = builtin("python")
+    rows = filter_entries(parse(read_lines(spark, _written(spark, sf)), t), t, "level == ERROR")
+    return rows.select(F.regexp_extract("raw", r"event[ =]([0-9]+)$", 1).cast("long").alias("event_id"))
+
+
+@_register("stream_follow", _sql("SELECT event_id, false AS cont FROM e WHERE pylvl = 'ERROR' UNION ALL SELECT event_id, true FROM e WHERE pylvl = 'ERROR'"))
+def stream_follow(spark, sf):
+    """The same files tailed by a streaming query with a filter, in several batches."""
+    at, out, check = _written(spark, sf), shared_folder(spark, "followed"), shared_folder(spark, "check")
+    event = F.regexp_extract("raw", r"event[ =]([0-9]+)$", 1).cast("long").alias("event_id")
+
+    def sink(rows, batch):
+        rows.where("visible").select(event, "cont").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    lines = tail_lines(spark, f"{at.removeprefix('file://')}/part-*", batch_bytes=4 << 20)
+    query = follow(lines, builtin("python"), "level == ERROR", sink, check, once=True)
+    query.awaitTermination()
+    return spark.read.schema("event_id long, cont boolean").parquet(*[f"{out}/batch=*"])
+
+
+@_register("wrapped_values", "SELECT doc_id, CAST(i AS INTEGER) AS part, substr(left(text, 500), CAST((i - 1) * 40 + 1 AS BIGINT), 40) AS piece FROM documents, range(1, 14) r(i) WHERE text <> '' AND (i - 1) * 40 < least(length(text), 500)")
+def wrapped_values(spark, sf):
+    """Values cut at 500 characters and wrapped at 40."""
+    pieces = F.posexplode(fn.wrap(fn.truncate(F.col("text"), 500), 40)).alias("part", "piece")
+    return _table(spark, sf, "documents").select("doc_id", pieces).withColumn("part", F.col("part") + 1).withColumn("piece", F.col("piece"))
