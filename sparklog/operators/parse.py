@@ -48,7 +48,8 @@ def _filled(rows: DataFrame, value: Column, name: str, blocks: bool) -> DataFram
     """Adds value of the nearest row at or before each that is no continuation.
 
     Within a file block that is a window; a block that begins with continuations takes the
-    last value of the blocks before it, from a table of one row a block."""
+    last value of the blocks before it, from a table of one row a block (its join needs no
+    shuffle of the rows: they are dealt by block already)."""
     own = F.when(~F.col("cont"), value)
     out = rows.withColumn(name, F.last(own, ignorenulls=True).over(_in_block()))
     if not blocks:
@@ -56,7 +57,7 @@ def _filled(rows: DataFrame, value: Column, name: str, blocks: bool) -> DataFram
     ends = rows.groupBy("path", "block").agg(F.max_by(own, F.when(~F.col("cont"), F.col("lineno"))).alias("_end"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    return out.join(F.broadcast(ends), ["path", "block"], "left").withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+    return out.join(ends, ["path", "block"], "left").withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
 
 
 def attach(rows: DataFrame, template: Template, blocks: bool = True) -> DataFrame:

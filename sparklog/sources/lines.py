@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from ..plans.template import LogIOError, Template, parse
 
 SCHEMA = "path string, block long, lineno long, raw string"
+#: Lines of a block where lines are numbered beforehand.
+BLOCK_LINES = 1 << 20
+
+
+def _block(lineno: Column) -> Column:
+    return F.floor((lineno - 1) / BLOCK_LINES).cast("long")
 
 
 def strip_cr(c: Column) -> Column:
@@ -22,8 +28,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of text files. Only a newline ends a line; one trailing carriage return goes.
 
     Line numbers: rows of a file block are numbered in the order of the scan, and a prefix sum
-    over one row a block says how many lines come before the block. Nothing but those rows is
-    shuffled. LogIOError if a path can't be read."""
+    over one row a block says how many lines come before the block. Nothing but those rows
+    (one for each 128 MB of a file, or each file) is shuffled or broadcast. LogIOError if a path can't be read."""
     try:
         text = spark.read.option("lineSep", "\n").text(paths)
     except AnalysisException as e:
@@ -47,22 +53,25 @@ def lines_from_text(df: DataFrame, text: str, path: str | Column = "", keep: lis
     lines = F.when(c != "", F.split(body, "\n"))
     where = path if isinstance(path, Column) else F.lit(path)
     out = df.select(where.alias("path"), *(keep or []), F.posexplode(lines).alias("_i", "_raw"))
-    return out.select("path", *(keep or []), F.lit(0).cast("long").alias("block"), (F.col("_i") + 1).cast("long").alias("lineno"), strip_cr(F.col("_raw")).alias("raw"))
+    number = (F.col("_i") + 1).cast("long")
+    return out.select("path", *(keep or []), _block(number).alias("block"), number.alias("lineno"), strip_cr(F.col("_raw")).alias("raw"))
 
 
 def lines_from_rows(df: DataFrame, raw: str | Column, lineno: str | Column, path: str | Column | None = None) -> DataFrame:
-    """Lines from rows that are one line each and know their number (from 1)."""
+    """Lines from rows that are one line each and know their number (from 1; gaps are fine).
+    A path's lines are dealt by ranges of numbers, so a path may be of any length."""
     where = F.lit("") if path is None else path if isinstance(path, Column) else F.col(path)
     number = lineno if isinstance(lineno, Column) else F.col(lineno)
     line = raw if isinstance(raw, Column) else F.col(raw)
-    return df.select(where.alias("path"), F.lit(0).cast("long").alias("block"), number.cast("long").alias("lineno"), line.alias("raw"))
+    number = number.cast("long")
+    return df.select(where.alias("path"), _block(number).alias("block"), number.alias("lineno"), line.alias("raw"))
 
 
 def lines_from_iterable(spark: SparkSession, chunks: Iterable[str], path: str = "(stdin)") -> DataFrame:
     """Lines of a stream of text chunks, such as standard input, read to its end."""
     text = "".join(chunks)
     lines = text.removesuffix("\n").split("\n") if text else []
-    rows = [(path, 0, i, x.removesuffix("\r")) for i, x in enumerate(lines, 1)]
+    rows = [(path, (i - 1) // BLOCK_LINES, i, x.removesuffix("\r")) for i, x in enumerate(lines, 1)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -106,14 +106,14 @@ _FIELDS = {
 }
 for _shape, _cols in _FIELDS.items():
     _register(f"parse_{_shape.replace('-', '_')}", _sql(f"SELECT lineno, true AS matched, {_cols} FROM e"))(
-        lambda spark, sf, s=_shape: _flat(parse(event_lines(spark, sf, s), builtin(s), False), builtin(s))
+        lambda spark, sf, s=_shape: _flat(parse_rows(event_lines(spark, sf, s), builtin(s)), builtin(s))
     )
 
 
 @_register("parse_custom", "SELECT o_orderkey + 1 AS lineno, true AS matched, CAST(o_orderkey AS VARCHAR) AS f_id, o_orderpriority AS f_priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS f_price, strftime(o_orderdate, '%Y-%m-%d') AS f_day, o_orderstatus AS f_status, CAST(o_orderkey AS DOUBLE) AS n_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS n_price, epoch_us(date_trunc('day', o_orderdate)) AS us_day FROM orders")
 def parse_custom(spark, sf):
     t = parse_template(ORDERS)
-    return _flat(parse(order_lines(spark, sf), t, False), t)
+    return _flat(parse_rows(order_lines(spark, sf), t), t)
 
 
 def order_lines(spark, sf):
@@ -124,7 +124,7 @@ def order_lines(spark, sf):
 @_register("parse_wide", "SELECT l_orderkey * 100 + l_linenumber AS lineno, true AS matched, CAST(l_orderkey AS VARCHAR) AS f_order, CAST(l_linenumber AS VARCHAR) AS f_line, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS f_quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS f_price, l_returnflag AS f_flag, l_linestatus AS f_status, strftime(l_shipdate, '%d/%b/%Y') AS f_shipped, CAST(l_orderkey AS DOUBLE) AS n_order, CAST(l_linenumber AS DOUBLE) AS n_line, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS n_quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS n_price, epoch_us(date_trunc('day', l_shipdate)) AS us_shipped FROM lineitem")
 def parse_wide(spark, sf):
     t = parse_template(LINEITEM)
-    return _flat(parse(wide_lines(spark, sf), t, False), t)
+    return _flat(parse_rows(wide_lines(spark, sf), t), t)
 
 
 def wide_lines(spark, sf):
@@ -140,7 +140,7 @@ def variant_lines(spark, sf):
 @_register("parse_variants", _sql("SELECT lineno, user_id % 3 < 2 AS matched, CASE WHEN user_id % 3 < 2 THEN CAST(user_id AS VARCHAR) ELSE '' END AS f_id, CASE WHEN user_id % 3 = 1 THEN v ELSE '' END AS f_value, CASE WHEN user_id % 3 < 2 THEN event_type ELSE '' END AS f_kind, CASE WHEN user_id % 3 < 2 THEN CAST(user_id AS DOUBLE) END AS n_id, CASE WHEN user_id % 3 = 1 THEN CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END AS n_value FROM e"))
 def parse_variants(spark, sf):
     t = parse_template(VARIANTS)
-    return _flat(parse(variant_lines(spark, sf), t, False), t)
+    return _flat(parse_rows(variant_lines(spark, sf), t), t)
 
 
 @_register("parse_pruned", _sql("SELECT lineno, lvl AS level FROM e WHERE lvl = 'ERR'"))
@@ -193,7 +193,7 @@ FILTERS = [
 ]
 for _name, _shape, _expr, _where in FILTERS:
     _register(_name, _sql(f"SELECT lineno, event_id FROM e WHERE {_where}"))(
-        lambda spark, sf, s=_shape, x=_expr: filter_entries(parse(event_lines(spark, sf, s), builtin(s), False), builtin(s), x, False).select("lineno", (F.col("lineno") - 1).alias("event_id"))
+        lambda spark, sf, s=_shape, x=_expr: filter_entries(parse_rows(event_lines(spark, sf, s), builtin(s)), builtin(s), x).select("lineno", (F.col("lineno") - 1).alias("event_id"))
     )
 
 # A field that a shape lacks: number comparisons fall back to the texts, '' against the value.
@@ -201,7 +201,7 @@ _LACK = [("missing_ne", "value != 5", "user_id % 3 = 0 OR user_id % 3 = 1 AND ab
 for _name, _expr, _where in _LACK:
     # Rows of no shape continue the entry above: they have its verdict.
     _register(f"{_name}_variant", _sql(f", j AS (SELECT lineno, CASE WHEN user_id % 3 < 2 OR lineno = 1 THEN coalesce({_where}, false) AND user_id % 3 < 2 END AS own FROM e), k AS (SELECT lineno, last_value(own IGNORE NULLS) OVER (ORDER BY lineno) AS v FROM j) SELECT lineno FROM k WHERE v"))(
-        lambda spark, sf, x=_expr: filter_entries(parse(variant_lines(spark, sf), parse_template(VARIANTS), False), parse_template(VARIANTS), x, False).select("lineno")
+        lambda spark, sf, x=_expr: filter_entries(parse_rows(variant_lines(spark, sf), parse_template(VARIANTS)), parse_template(VARIANTS), x).select("lineno")
     )
 
 
@@ -227,52 +227,52 @@ _ENTRY = "CASE WHEN lineno = 1 THEN 1 ELSE max(CASE WHEN matched THEN lineno END
 
 @_register("continuations", f"WITH {_LINES} SELECT path, lineno, matched, NOT matched AND lineno > 1 AS cont, CAST({_ENTRY} AS BIGINT) AS entry_id FROM l")
 def continuations(spark, sf):
-    return parse(error_lines(spark, sf), builtin("python"), False).select("path", "lineno", "matched", "cont", "entry_id")
+    return parse(error_lines(spark, sf), builtin("python")).select("path", "lineno", "matched", "cont", "entry_id")
 
 
 @_register("filter_with_continuations", f"WITH {_LINES} SELECT path, lineno FROM l WHERE lineno > 1 AND pylvl = 'ERROR'")
 def filter_with_continuations(spark, sf):
     t = builtin("python")
-    return filter_entries(parse(error_lines(spark, sf), t, False), t, "level == ERROR", False).select("path", "lineno")
+    return filter_entries(parse_rows(error_lines(spark, sf), t), t, "level == ERROR").select("path", "lineno")
 
 
 @_register("unmatched_first_ne", f"WITH {_LINES} SELECT path, lineno FROM l WHERE lineno > 1 AND pylvl <> 'ERROR'")
 def unmatched_first_ne(spark, sf):
     t = builtin("python")
-    return filter_entries(parse(error_lines(spark, sf), t, False), t, "level != ERROR", False).select("path", "lineno")
+    return filter_entries(parse_rows(error_lines(spark, sf), t), t, "level != ERROR").select("path", "lineno")
 
 
 @_register("unmatched_first_not", f"WITH {_LINES} SELECT path, lineno FROM l WHERE lineno = 1 OR pylvl <> 'ERROR'")
 def unmatched_first_not(spark, sf):
     t = builtin("python")
-    return filter_entries(parse(error_lines(spark, sf), t, False), t, "not level == ERROR", False).select("path", "lineno")
+    return filter_entries(parse_rows(error_lines(spark, sf), t), t, "not level == ERROR").select("path", "lineno")
 
 
 @_register("unmatched_first_raw", f"WITH {_LINES} SELECT path, lineno FROM l WHERE lineno = 1")
 def unmatched_first_raw(spark, sf):
     t = builtin("python")
-    return filter_entries(parse(error_lines(spark, sf), t, False), t, "raw ~ '# HEADER'", False).select("path", "lineno")
+    return filter_entries(parse_rows(error_lines(spark, sf), t), t, "raw ~ '# HEADER'").select("path", "lineno")
 
 
 @_register("evaluate_rows", f"WITH {_LINES} SELECT path, lineno, matched AND pylvl = 'ERROR' AS verdict FROM l WHERE pylvl IS NOT NULL UNION ALL SELECT path, lineno, false FROM l WHERE pylvl IS NULL")
 def evaluate_rows(spark, sf):
     t = builtin("python")
-    return evaluate(parse(error_lines(spark, sf), t, False), t, "level == ERROR").select("path", "lineno", "verdict")
+    return evaluate(parse_rows(error_lines(spark, sf), t), t, "level == ERROR").select("path", "lineno", "verdict")
 
 
 @_register("entries", f"WITH {_LINES} SELECT path, min(lineno) AS entry_id, any_value(msg) AS message, CAST(count(*) - 1 AS INTEGER) AS n_continuations FROM l WHERE pylvl = 'ERROR' GROUP BY path, event_id")
 def entries(spark, sf):
-    frame = LogFrame(error_lines(spark, sf), builtin("python"), "level == ERROR", False)
+    frame = LogFrame(error_lines(spark, sf), builtin("python"), "level == ERROR")
     return frame.entries().select("path", "entry_id", F.col("f.message").alias("message"), F.size("continuations").alias("n_continuations"))
 
 
 def _serilog(spark, sf, expression=None) -> LogFrame:
-    return LogFrame(event_lines(spark, sf, "serilog"), builtin("serilog"), expression, False)
+    return LogFrame(event_lines(spark, sf, "serilog"), builtin("serilog"), expression)
 
 
 @_register("stats", f"WITH {_LINES} SELECT count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (lineno > 1 AND pylvl = 'ERROR') AS visible FROM l")
 def stats(spark, sf):
-    return LogFrame(error_lines(spark, sf), builtin("python"), "level == ERROR", False).stats()
+    return LogFrame(error_lines(spark, sf), builtin("python"), "level == ERROR").stats()
 
 
 @_register("severity", _sql("SELECT lineno, CASE lvl WHEN 'ERR' THEN 4 WHEN 'WRN' THEN 3 WHEN 'INF' THEN 2 WHEN 'DBG' THEN 1 ELSE 0 END AS severity FROM e"))
@@ -354,7 +354,7 @@ def inspect(spark, sf):
 
 @_register("inspect_states", f"WITH {_LINES} SELECT state, name, count(*) AS n FROM (SELECT CASE WHEN matched THEN 'matched' WHEN lineno > 1 THEN 'continuation of previous entry' ELSE 'did not match template' END AS state, unnest(CASE WHEN matched THEN ['timestamp', 'logger', 'level', 'message'] ELSE ['raw'] END) AS name FROM l) GROUP BY ALL")
 def inspect_states(spark, sf):
-    return LogFrame(error_lines(spark, sf), builtin("python"), None, False).inspect().groupBy("state", "name").agg(F.count("*").alias("n"))
+    return LogFrame(error_lines(spark, sf), builtin("python")).inspect().groupBy("state", "name").agg(F.count("*").alias("n"))
 
 
 @_register("segments", _sql("SELECT lineno, 'timestamp' AS field, 0 AS start, CAST(length(t) + 7 AS INTEGER) AS length FROM e UNION ALL SELECT lineno, 'level', CAST(length(t) + 9 AS INTEGER), 3 FROM e UNION ALL SELECT lineno, 'message', CAST(length(t) + 14 + CAST(user_id % 2 = 0 AS INT) AS INTEGER), CAST(length(msg) AS INTEGER) FROM e"))
@@ -439,7 +439,7 @@ def conversation_search(spark, sf):
     t = builtin("plain")
     path = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     lines = lines_from_text(_table(spark, sf, "conversations"), "text", path, keep=["conv_id", "turn"])
-    return filter_entries(parse(lines, t, False), t, "raw ~ 'THE '", False).select("conv_id", "turn", "lineno")
+    return filter_entries(parse_rows(lines, t), t, "raw ~ 'THE '").select("conv_id", "turn", "lineno")
 
 
 @_register("text_functions", "SELECT doc_id, length(a) AS n_trimmed, instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') - 1 AS at, left(text, 31) AS short, regexp_replace(left(text, 40), '[\\x00-\\x1F]', ' ', 'g') AS masked FROM (SELECT *, regexp_replace(regexp_replace(text, '^[ \\t]+', ''), '[ \\t\\r\\n]+$', '') AS a FROM documents)")
@@ -458,7 +458,7 @@ def colors(spark, sf):
 @_register("visible_counts", _sql("SELECT CASE lvl WHEN 'ERR' THEN true ELSE false END AS visible, count(*) AS n FROM e GROUP BY 1"))
 def visible_counts(spark, sf):
     t = builtin("serilog")
-    rows = visible(parse(event_lines(spark, sf, "serilog"), t, False), t, "level == ERR", False)
+    rows = visible(parse_rows(event_lines(spark, sf, "serilog"), t), t, "level == ERR")
     return rows.groupBy("visible").agg(F.count("*").alias("n"))
 
 

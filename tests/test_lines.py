@@ -59,3 +59,20 @@ def test_written_lines(spark, tmp_path):
     LogFrame(read_lines(spark, str(tmp_path / "a.log"))).write_lines(str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert "".join(p.read_text() for p in parts).split("\n")[:-1] == lines
+
+
+def test_numbered_lines_are_dealt_by_ranges(spark, tmp_path, monkeypatch):
+    from sparklog.sources import lines as module
+
+    monkeypatch.setattr(module, "BLOCK_LINES", 7)
+    text = write(tmp_path / "a.log", 120)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(text, 1)], "i long, x string")
+    t, entry, want = builtin("python"), 0, {}
+    for i, x in enumerate(text, 1):
+        entry = entry if x.startswith("  ") else i
+        want[i] = entry
+    for rows in (module.lines_from_rows(df, "x", "i"), module.lines_from_iterable(spark, ["\n".join(text)]), module.lines_from_text(spark.createDataFrame([("\n".join(text),)], "t string"), "t")):
+        assert rows.select("block").distinct().count() > 10
+        assert {r.lineno: r.entry_id for r in parse(rows, t).collect()} == want
+        shown = {r.lineno for r in filter_entries(parse(rows, t), t, "level == ERROR").collect()}
+        assert shown == {i for i in want if "ERROR" in text[want[i] - 1]}
