@@ -5,7 +5,7 @@ distinct fingerprint emits all its variants within 2 bits. The variants are deal
 leading bits: a fingerprint goes once to each prefix that one of its variants has, and the
 variants of that prefix are made and compared there, so that what is shuffled is a small part
 of all variants. All fingerprints with one variant are within 4 bits of each other; each such
-bucket gives links to its smallest member only. Prefixes with many variants are split by a
+bucket gives links to one of its members only. Prefixes with many variants are split by a
 hash of the variant.
 """
 
@@ -19,12 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import components, staged
+from .shared import components, drop_staged, staged
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Variants that one task compares at a time, about.
-TASK_VARIANTS = 3_000_000
+#: Variants that a task compares at a time, about, and that all come to one group of a prefix;
+#: groups at least.
+TASK_VARIANTS, GROUP_VARIANTS, LEAST_GROUPS = 1_000_000, 150_000_000, 32
 MAX_PREFIX = 16
+#: Bits besides the fingerprint that screen a pair, as longs, and the most that may differ. Sets
+#: of similarity 0.8 differ in 38 of 256 on average, and in more than 50 one time in fifty.
+CHECKS = ("c0", "c1", "c2", "c3")
+CHECK, APART = 64 * len(CHECKS), 50
 
 
 def fingerprint(text: str) -> int:
@@ -65,20 +70,61 @@ def ball(bits: int, radius: int) -> int:
 def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     """Links of the variants that begin with one prefix. low: bits after the prefix; left: how
     many of them may still be flipped; one of parts shares the variants by a hash."""
-    fps, ids = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy()
-    left = pdf["left"].to_numpy()
+    fps, ids, left = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["left"].to_numpy()
+    group, check = pdf["group"].to_numpy(), np.ascontiguousarray(pdf[list(CHECKS)].to_numpy()).view(np.uint64)
     parts, part = int(pdf["parts"].iloc[0]), int(pdf["part"].iloc[0])
+    # Ids of one fingerprint are linked to the least of them, which then stands for all.
+    order = np.lexsort((ids, fps))
+    fps, ids, left, group, check = fps[order], ids[order], left[order], group[order], check[order]
+    first = np.concatenate([[True], fps[1:] != fps[:-1]])
+    least = np.flatnonzero(first)[np.cumsum(first) - 1]
+    more = np.flatnonzero((group != group[least]) & _close(check, np.arange(len(fps)), least))
+    out = [np.stack([ids[more], ids[least[more]]], 1)]
+    out += _split_links(fps[first], ids[first], group[first], check[first], left[first], low, radius, parts, part)
+    links = np.unique(np.concatenate(out), axis=0)
+    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+
+def _close(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(check[a] ^ check[b]).sum(1) <= APART
+
+
+def _split_links(fps, ids, group, check, left, low: int, radius: int, parts: int, part: int) -> list[np.ndarray]:
+    """Links of distinct fingerprints; many variants are split by more leading bits."""
+    load = sum(int((left == k).sum()) * ball(low, k) for k in range(radius + 1))
+    bits = int(np.ceil(np.log2(max(1, load / parts / TASK_VARIANTS))))
+    if not bits or low <= 16:
+        return [_compare(fps, ids, group, check, left, low, radius, parts, part)]
+    bits = min(bits, 8, low - 8)
+    low -= bits
+    own = ((fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    rows, to, rest = [], [], []
+    for m in _masks(bits, radius):
+        at = np.flatnonzero(left >= m.bit_count())
+        rows.append(at)
+        to.append(own[at] ^ m)
+        rest.append(left[at] - m.bit_count())
+    rows, to, rest = np.concatenate(rows), np.concatenate(to), np.concatenate(rest)
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange((1 << bits) + 1))
+    out = []
+    for a, b in zip(ends, ends[1:]):
+        if b - a > 1:
+            at = order[a:b]
+            out += _split_links(fps[rows[at]], ids[rows[at]], group[rows[at]], check[rows[at]], rest[at], low, radius, parts, part)
+    return out
+
+
+def _compare(fps, ids, group, check, left, low: int, radius: int, parts: int, part: int) -> np.ndarray:
     keep = np.uint64((1 << low) - 1)
-    made, owners = [], []
+    made, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for k in range(radius + 1):
         at = np.flatnonzero(left == k)
-        if not len(at):
-            continue
         mask = np.array(_masks(low, k), np.uint64)
-        for i in range(0, len(at), max(1, 2_000_000 // len(mask))):
-            some = at[i : i + max(1, 2_000_000 // len(mask))]
-            v = ((fps[some] & keep)[:, None] ^ mask[None, :]).ravel()
-            own = np.repeat(some.astype(np.int32), len(mask))
+        step = max(1, 500_000 // len(mask))
+        for i in range(0, len(at), step):
+            v = ((fps[at[i : i + step]] & keep)[:, None] ^ mask[None, :]).ravel()
+            own = np.repeat(at[i : i + step].astype(np.int32), len(mask))
             if parts > 1:
                 mine = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts) == part
                 v, own = v[mine], own[mine]
@@ -89,26 +135,32 @@ def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
     if not len(twice):
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        return np.zeros((0, 2), np.int64)
     at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
     hit = np.flatnonzero(twice[at] == v)
     bucket, row = at[hit], own[hit]
-    order = np.lexsort((ids[row], bucket))
+    # A bucket's hub is its member that is in most buckets: the middle of a group of copies is
+    # the hub of many, so that a member has few hubs.
+    seen = -np.bincount(row)
+    order = np.lexsort((ids[row], seen[row], bucket))
     bucket, row = bucket[order], row[order]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    least = row[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    near = (ids[row] != ids[least]) & (np.bitwise_count(fps[row] ^ fps[least]) <= 2 * radius)
-    links = np.unique(np.stack([ids[row[near]], ids[least[near]]], 1), axis=0)
-    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+    hub = row[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    near = (group[row] != group[hub]) & (np.bitwise_count(fps[row] ^ fps[hub]) <= 2 * radius) & _close(check, row, hub)
+    pair = np.sort(np.stack([ids[row[near]], ids[hub[near]]], 1), axis=1)
+    return np.unique(pair[:, ::-1], axis=0)
 
 
 def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between ids of (table, fp, id), all longs, within each table: of any two
-    fingerprints of `width` bits at most radius bits apart, both are linked to the smallest id
-    of every variant that they share."""
+    """Links (a, b) between ids of (table, fp, id, group, *CHECKS), all longs, within each table: of any
+    two fingerprints of `width` bits at most radius bits apart, both are linked to one id of
+    every variant that they share. What is of one group is known to be linked: no link within
+    it is given. CHECKS are further bits: ids that differ in more than APART of them are not
+    linked (equal ones always may be)."""
     half = radius // 2
-    n = rows.groupBy("table").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = min(MAX_PREFIX, max(4, int(np.ceil(np.log2(max(1, n * ball(width, half) / TASK_VARIANTS))))))
+    tables, n = rows.groupBy("table").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
+    groups = max(LEAST_GROUPS / max(1, tables), (n or 0) * ball(width, half) / GROUP_VARIANTS)
+    bits = min(MAX_PREFIX, max(1, int(np.ceil(np.log2(groups)))))
     low = width - bits
     own = F.shiftrightunsigned(F.col("fp"), low)
     # Variants of each prefix, from the histograms of the fingerprints' own prefixes.
@@ -119,13 +171,13 @@ def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFr
     many: dict[int, int] = {}
     for table, hist in seen.items():
         load = sum(hist[np.arange(1 << bits) ^ m] * ball(low, half - k) for m, k in masks)
-        many |= {(table << bits) + int(p): int(-(-load[p] // TASK_VARIANTS)) for p in np.flatnonzero(load > 2 * TASK_VARIANTS)}
+        many |= {(table << bits) + int(p): int(-(-load[p] // GROUP_VARIANTS)) for p in np.flatnonzero(load > 2 * GROUP_VARIANTS)}
     parts = F.lit(1)
     if many:
         place = F.shiftleft(F.col("table"), bits) + F.col("prefix")
         parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in many.items() for x in (k, v)]), place), parts)
     to = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(half - k).alias("left")) for m, k in masks]))
-    dealt = rows.select("table", "fp", "id", own.alias("own"), to.alias("to")).select("table", "fp", "id", F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
+    dealt = rows.select("table", "fp", "id", "group", *CHECKS, own.alias("own"), to.alias("to")).select("table", "fp", "id", "group", *CHECKS, F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
     dealt = dealt.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = dealt.groupBy("table", "prefix", "part").applyInPandas(lambda pdf: _bucket_links(pdf, low, half), "a long, b long")
     return found.distinct()
@@ -135,7 +187,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (one long column), enough of them that any
     two at most radius bits apart are in one component; never a link farther apart."""
     fp = F.col(fps.columns[0])
-    return ball_links(fps.select(F.lit(0).cast("long").alias("table"), fp.alias("fp"), fp.alias("id")), 64, radius)
+    return ball_links(fps.select(F.lit(0).cast("long").alias("table"), fp.alias("fp"), fp.alias("id"), fp.alias("group"), *[F.lit(0).cast("long").alias(k) for k in CHECKS]), 64, radius)
 
 
 def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -153,8 +205,8 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Da
 
 
 #: For similarity of shingle sets: words of a shingle, least Jaccard similarity, fingerprints of
-#: a set, their bits, and the estimate from all bits below which a pair is not verified.
-SET_SHINGLE, SIMILARITY, TABLES, WIDTH, SCREEN = 5, 0.8, 16, 40, 0.68
+#: a set and their bits.
+SET_SHINGLE, SIMILARITY, TABLES, WIDTH = 5, 0.8, 16, 40
 
 
 def _shingle_set(text: str) -> np.ndarray:
@@ -164,26 +216,39 @@ def _shingle_set(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.dtype("<u8"), n))
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """32 bits of each hash of a set: differences in order, byte by byte, which compress."""
+    low = np.unique((h & np.uint64(0xFFFFFFFF)).astype("<u4"))
+    return np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _set_prints(h: np.ndarray) -> list[int]:
-    """TABLES fingerprints of WIDTH bits of a set of hashes."""
-    total = np.zeros(TABLES * WIDTH, np.int64)
-    more = (np.arange(-(-TABLES * WIDTH // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    """TABLES fingerprints of WIDTH bits of a set of hashes, then CHECK bits as longs."""
+    size = TABLES * WIDTH + CHECK
+    total = np.zeros(size, np.int64)
+    more = (np.arange(-(-size // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
     for i in range(0, len(h), 16384):
         x = h[i : i + 16384, None] + more
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        total += np.unpackbits(x.view(np.uint8), axis=1)[:, : TABLES * WIDTH].sum(0, dtype=np.int32)
-    bits = (2 * total > len(h)).reshape(TABLES, WIDTH)
-    return (bits @ (1 << np.arange(WIDTH, dtype=np.int64))).tolist()
+        total += np.unpackbits(x.view(np.uint8), axis=1)[:, :size].sum(0, dtype=np.int32)
+    bits = 2 * total > len(h)
+    tables = bits[: TABLES * WIDTH].reshape(TABLES, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+    return tables.tolist() + np.packbits(bits[TABLES * WIDTH :]).view("<i8").tolist()
 
 
 def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) of every row, linking what
     near_groups() links and also texts whose sets of 5-word shingles are similar.
 
-    Candidates are pairs that agree in a ball of any of TABLES short fingerprints of the sets;
-    an estimate from all their bits screens them, and the exact Jaccard similarity decides.
+    Candidates are pairs that agree in a ball of any of TABLES short fingerprints of the sets
+    and in enough of CHECK further bits; the exact Jaccard similarity decides.
     Texts of one shingle set are one class. Texts without words are one class."""
 
     def described(batches):
@@ -192,40 +257,42 @@ def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMI
             for known, doc, t in zip(pdf["known"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 h = _shingle_set(t)
                 key = xxh64_intdigest(h.tobytes(), SEED)
-                rows.append((doc if known else None, np.uint64(fingerprint(t)).astype(np.int64), np.uint64(key).astype(np.int64), _set_prints(h), np.unique((h & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes()))
+                rows.append((doc if known else None, np.uint64(fingerprint(t)).astype(np.int64), np.uint64(key).astype(np.int64), _set_prints(h), _packed(h)))
             out = pd.DataFrame(rows, columns=["doc_id", "fp", "key", "prints", "grams"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     src = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = staged(src.mapInPandas(described, "doc_id long, fp long, key long, prints array<long>, grams binary"), "simhash")
-    reps = staged(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints")), "simhash")
-    rows = reps.select("key", F.posexplode("prints").alias("table", "fp")).select(F.col("table").cast("long").alias("table"), "fp", F.col("key").alias("id"))
-    pairs = ball_links(rows, WIDTH, RADIUS)
-    one = lambda k: reps.select(F.col("key").alias(k), F.col("prints").alias(f"p{k}"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    cosine = F.cos(apart * (np.pi / (TABLES * WIDTH)))
-    pairs = staged(pairs.join(one("a"), "a").join(one("b"), "b").where(cosine / (2 - cosine) >= SCREEN).select("a", "b"), "simhash")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # Links by fingerprints of whole texts come first: their components are groups of keys.
+    roots = components(staged(links(own.select("fp").distinct()), "simhash"))
+    pairs = own.select("key", "fp").distinct().join(roots, F.col("fp") == F.col("node"), "left")
+    kept = staged(pairs.select("key", F.coalesce("root", "fp").alias("root")).distinct(), "simhash")
+    least = kept.groupBy("root").agg(F.min("key").alias("least"))
+    same = kept.join(least, "root").select(F.col("key").alias("a"), F.col("least").alias("b")).where("a <> b")
+    reps = own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints"))
+    reps = staged(reps.join(kept.groupBy("key").agg(F.min("root").alias("group")), "key"), "simhash")
+    more = [F.get("prints", F.lit(TABLES + i)).alias(k) for i, k in enumerate(CHECKS)]
+    rows = reps.select("key", "group", *more, F.posexplode(F.slice("prints", 1, TABLES)).alias("table", "fp")).select(F.col("table").cast("long").alias("table"), "fp", F.col("key").alias("id"), "group", *CHECKS)
+    pairs = staged(ball_links(rows, WIDTH, RADIUS), "simhash")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     sets = staged(own.select("key", "grams").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "simhash")
+    slim = staged(own.select("doc_id", "key"), "simhash")
+    drop_staged(own)
 
     def verified(batches):
         for pdf in batches:
-            x = [np.frombuffer(g, "<u4") for g in pdf["ga"]]
-            y = [np.frombuffer(g, "<u4") for g in pdf["gb"]]
-            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)])
-            size = np.array([len(p) + len(q) for p, q in zip(x, y)]) - both
-            yield pdf.loc[both >= similarity * size, ["a", "b"]]
+            keep = []
+            for x, y in zip(pdf["ga"], pdf["gb"]):
+                x, y = _unpacked(x), _unpacked(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     of = lambda k: sets.select(F.col("key").alias(k), F.col("grams").alias(f"g{k}"))
     similar = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ga", "gb").mapInPandas(verified, "a long, b long")
-    # Fingerprints of whole texts, as links between the classes that have them.
-    prints = staged(own.groupBy("fp").agg(F.min("key").alias("least")), "simhash")
-    same = own.join(prints, "fp").select(F.col("key").alias("a"), F.col("least").alias("b")).where("a <> b")
-    near = links(prints.select("fp"))
-    near = near.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(staged(similar.unionByName(same).unionByName(near).where("a <> b").distinct(), "simhash"))
+    roots = components(staged(similar.unionByName(same).distinct(), "simhash"))
     rooted = reps.join(roots, reps.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = staged(rooted.join(ids, "root").select("key", "component_id"), "simhash")
-    return own.select("doc_id", "key").join(table, "key").select("doc_id", "component_id")
+    return slim.select("doc_id", "key").join(table, "key").select("doc_id", "component_id")
