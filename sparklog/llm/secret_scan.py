@@ -35,15 +35,37 @@ def _located(text: Column, pattern: str, group: int, rank: int, kind: str) -> Co
     upto = F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(upto.alias("u"), whole.alias("m"), part.alias("g"))
-    none = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long,size:int,match:string>>")
+    def rows(ends: Column) -> Column:
+        zipped = F.arrays_zip(ends.alias("e"), whole.alias("m"), part.alias("g"))
+        return F.transform(zipped, lambda z: F.struct((z["e"] - F.length(z["m"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), z["e"].alias("end"), F.length(z["g"]).alias("size"), z["m"].alias("match")))
 
-    def step(acc: Column, z: Column) -> Column:
-        end = acc["at"] + F.length(z["u"])
-        row = F.struct((end - F.length(z["m"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.length(z["g"]).alias("size"), z["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    return _let(_running_sums(F.transform(upto, lambda u: F.length(u).cast("long"))), rows)
 
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+def _let(value: Column, body) -> Column:
+    """body(value), value being evaluated once however often body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running_sums(sizes: Column) -> Column:
+    """Sums up to each element, by blocks of about the root of their number."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+
+    def blocked(x: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+        count = F.greatest(F.ceil(F.size(x) / width).cast("int"), F.lit(1))
+
+        def summed(w: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: total(F.slice(x, b * w + 1, w)))
+
+            def each(s: Column) -> Column:
+                return F.transform(x, lambda _, i: total(F.slice(s, F.lit(1), (i / w).cast("int"))) + total(F.slice(x, (i / w).cast("int") * w + 1, i % w + 1)))
+
+            return _let(blocks, each)
+
+        return _let(width, summed)
+
+    return _let(sizes, blocked)
 
 
 def _longer(least: int):
@@ -53,8 +75,10 @@ def _longer(least: int):
 def window_entropy(s: Column, width: int) -> Column:
     """The largest Shannon entropy, in bits, over windows of so many characters of an ASCII
     string; a shorter string is one window."""
-    c = F.split(s, "")
-    c = F.filter(c, lambda x: x != "")
+    return _let(F.filter(F.split(s, ""), lambda x: x != ""), lambda c: _entropy_of(c, width))
+
+
+def _entropy_of(c: Column, width: int) -> Column:
     n = F.size(c)
     term = lambda k: F.when(k > 0, k * F.log2(F.greatest(k, F.lit(1.0)))).otherwise(0.0)
     code = lambda i: F.ascii(F.get(c, i))
@@ -64,7 +88,8 @@ def window_entropy(s: Column, width: int) -> Column:
         n_in, n_out = F.get(acc["count"], enter), F.get(acc["count"], F.greatest(leave, F.lit(0)))
         moved = leave != enter
         total = acc["total"] + F.when(moved, term(n_in + 1) - term(n_in) + F.when(leave >= 0, term(n_out - 1) - term(n_out)).otherwise(0.0)).otherwise(0.0)
-        count = F.when(moved, F.transform(acc["count"], lambda k, j: k + (j == enter).cast("double") - (j == leave).cast("double"))).otherwise(acc["count"])
+        changed = lambda e, l: F.transform(acc["count"], lambda k, j: k + (j == e).cast("double") - (j == l).cast("double"))  # noqa: E731, E741
+        count = F.when(moved, _let(F.struct(enter.alias("e"), leave.alias("l")), lambda m: changed(m["e"], m["l"]))).otherwise(acc["count"])
         size = F.least(i + 1, F.lit(width)).cast("double")
         full = (i + 1 >= width) | (i + 1 == n)
         best = F.when(full, F.greatest(acc["best"], F.log2(size) - total / size)).otherwise(acc["best"])
