@@ -29,7 +29,7 @@ CLASS_FACTOR = 1.3
 #: Items that one pass looks for; a larger benchmark takes more passes over the documents.
 PASS_ITEMS = 20_000
 #: Words of text that are searched at a time.
-RUN_WORDS = 1_000_000
+RUN_WORDS = 400_000
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -151,7 +151,7 @@ class Index:
             starts.append(pos[enough])
             sizes.append(np.full(int(enough.sum()), m))
         start, size = np.concatenate(starts), np.concatenate(sizes)
-        found = [self._collide(flat, start[i : i + 50_000], size[i : i + 50_000], begin[doc_of], stop) for i in range(0, len(start), 50_000)]
+        found = [self._collide(flat, start[i : i + 25_000], size[i : i + 25_000], begin[doc_of], stop) for i in range(0, len(start), 25_000)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return self._verify(flat, pairs, doc_of, begin, end)
 
