@@ -2,9 +2,9 @@
 
 Filter directions are a random product code: the dimensions are dealt to blocks by a fixed
 permutation, each block has a random code of unit vectors, and a direction is one code word of
-each block. A vector is list-decoded to all directions whose inner product with it exceeds a
-bound: block by block, partial sums that the remaining blocks cannot lift over the bound are
-dropped. Vectors are joined on (label, filter); each pair is verified in double precision and
+each block. A vector is list-decoded to the FILTERS directions of greatest inner product with
+it, so that every vector has as many: of the sums of one product a block, those can be among
+the greatest whose ranks in the blocks have a product of FILTERS at most. Vectors are joined on (label, filter); each pair is verified in double precision and
 counted in the first filter it shares. Equal vectors are one representative with a count. A
 bucket gives rows in proportion to its members, never its pairs; large buckets are split into
 chunks whose pairs are tasks of their own.
@@ -21,24 +21,29 @@ from pyspark.sql import functions as F
 
 from .shared import components, staged
 
-#: Filters a vector exceeds on average, vectors of a label in a filter on average, members of a
-#: chunk of a large bucket, and the vectors a label's bound is taken from.
-FILTERS, BUCKET, CHUNK, BOUND_SAMPLE = 36, 6, 1500, 4000
+#: Filters of every vector, vectors of a label in a filter on average, members of a chunk of a
+#: large bucket, and the least dimensions and most code words of a block.
+FILTERS, BUCKET, CHUNK, LEAST_DIM, MOST_WORDS = 36, 6, 1500, 8, 512
 
 
 class CapFilters:
-    """Directions for vectors of one dimension; bound: the inner product to exceed."""
+    """Directions for vectors of one dimension, about count of them, and at least FILTERS."""
 
-    def __init__(self, dim: int, count: int, bound: float, seed: int = 11):
-        self.blocks = max(1, min(dim, math.ceil(math.log(max(2, count)) / math.log(160))))
-        self.size = max(2, math.ceil(count ** (1 / self.blocks)))
+    def __init__(self, dim: int, count: int, seed: int = 11):
+        count = max(2, FILTERS, count)
+        self.blocks = max(1, min(dim // LEAST_DIM, math.ceil(math.log(count) / math.log(160))))
+        self.size = min(MOST_WORDS, math.ceil(count ** (1 / self.blocks)))
         rng = np.random.default_rng([seed, dim, self.blocks, self.size])
         self.order = rng.permutation(dim)
         self.codes = []
         for part in np.array_split(np.arange(dim), self.blocks):
             c = rng.standard_normal((self.size, len(part)))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(self.blocks))
-        self.bound = bound
+        # Ranks, one a block, of the sums that can be among the FILTERS greatest.
+        ranks: list[tuple] = [()]
+        for _ in range(self.blocks):
+            ranks = [(*r, k) for r in ranks for k in range(1, min(self.size, FILTERS // math.prod(r)) + 1)]
+        self.ranks = np.array(ranks) - 1
 
     def products(self, unit: np.ndarray) -> list[np.ndarray]:
         x, at, out = unit[:, self.order], 0, []
@@ -48,21 +53,14 @@ class CapFilters:
         return out
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every direction that a row's inner product exceeds."""
-        parts = self.products(unit)
-        best = [p.max(1) for p in parts]
-        row, total, code = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        for k, p in enumerate(parts):
-            ahead = sum(best[k + 1 :], np.zeros(len(unit)))
-            i, j = np.nonzero(total[:, None] + p[row] + ahead[row][:, None] >= self.bound)
-            row, total, code = row[i], (total[i] + p[row[i], j]), code[i] * self.size + j
-        return row, code
-
-    def bound_for(self, unit: np.ndarray, share: float, seed: int = 5) -> float:
-        """The inner product that this share of (row, direction) pairs exceeds."""
-        rng = np.random.default_rng(seed)
-        total = sum(p[:, rng.integers(0, self.size, 2000)] for p in self.products(unit))
-        return float(np.quantile(total, 1 - share))
+        """(row, filter) of each row's FILTERS directions of greatest inner product."""
+        total, code = np.zeros((len(unit), len(self.ranks))), np.zeros((len(unit), len(self.ranks)), np.int64)
+        for p, rank in zip(self.products(unit), self.ranks.T):
+            best = np.argsort(-p, axis=1, kind="stable")[:, :FILTERS]
+            total += np.take_along_axis(p, best, 1)[:, rank]
+            code = code * self.size + best[:, rank]
+        best = np.argsort(-total, axis=1, kind="stable")[:, :FILTERS]
+        return np.repeat(np.arange(len(unit)), best.shape[1]), np.take_along_axis(code, best, 1).ravel()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -74,7 +72,7 @@ def _filters_of(stats: dict):
 
     def get(label: int, dim: int) -> CapFilters:
         if (label, dim) not in made:
-            made[label, dim] = CapFilters(dim, *stats[label, dim])
+            made[label, dim] = CapFilters(dim, stats[label, dim])
         return made[label, dim]
 
     return get
@@ -170,14 +168,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     src = src.withColumn("ok", ok).withColumn("h", F.xxhash64("embedding"))
     reps = staged(src.where("ok").groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding")), "caps")
 
-    # Labels are classes: their sizes, and a bounded sample of each for its bound.
-    stats = {}
-    for r in reps.groupBy("label", "dim").agg(F.count("*").alias("n")).collect():
-        some = reps.where((F.col("label") == r.label) & (F.col("dim") == r.dim)).orderBy("h", "rep").limit(BOUND_SAMPLE).select("embedding").toPandas()
-        count = max(64, r.n * FILTERS // BUCKET)
-        code = CapFilters(r.dim, count, 0.0)
-        x = _unit(np.array(some["embedding"].tolist(), dtype=float).reshape(-1, r.dim))
-        stats[r.label, r.dim] = (count, code.bound_for(x, min(0.5, FILTERS / code.size**code.blocks)))
+    # Labels are classes: their sizes.
+    stats = {(r.label, r.dim): r.n * FILTERS // BUCKET for r in reps.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
     rows = staged(reps.mapInPandas(lambda it: _emit(it, stats), "label long, dim int, filter long, rep long, mult long, x binary, all binary"), "caps")
     key = ["label", "dim", "filter"]
     big = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > 2 * CHUNK)

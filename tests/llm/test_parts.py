@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparklog.llm import hpyp, packing, secret_scan, simhash, simple8b
+from sparklog.llm import hpyp, packing, secret_scan, simhash, simple8b, vector_dedup
 from sparklog.llm.shared import components
 
 from . import brute as B
@@ -92,3 +92,20 @@ def test_spelling_is_a_distribution():
     model = hpyp.Spelling(keys, np.random.default_rng(6).integers(1, 50, len(keys)), 1)
     for context in [0, int(keys[0] >> 8), int(keys[-1] >> 8)]:
         assert np.exp(model.log((context << 8) | np.arange(256))).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("dim, n", [(2, 5000), (8, 20_000), (64, 200), (64, 4500), (64, 25_000), (256, 100_000)])
+def test_every_vector_has_filters_and_links_share_one(dim, n):
+    r = np.random.default_rng(dim + n)
+    a, z = (vector_dedup._unit(r.standard_normal((2000, dim))) for _ in range(2))
+    z = vector_dedup._unit(z - (z * a).sum(1, keepdims=True) * a)
+    caps = vector_dedup.CapFilters(dim, n * vector_dedup.FILTERS // vector_dedup.BUCKET)
+    (row, x), (_, y) = caps.decode(a), caps.decode(0.98 * a + math.sqrt(1 - 0.98**2) * z)
+    assert (np.bincount(row, minlength=2000) == vector_dedup.FILTERS).all()
+    total = np.zeros((5, 1))
+    for p in caps.products(a[:5]):  # all directions, in order
+        total = (total[:, :, None] + p[:, None, :]).reshape(5, -1)
+    least = np.sort(total, axis=1)[:, -vector_dedup.FILTERS]
+    assert all((total[i, f] >= least[i] - 1e-12).all() for i, f in enumerate(x.reshape(2000, -1)[:5]))
+    shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(x.reshape(2000, -1), y.reshape(2000, -1))]
+    assert np.mean(shared) >= 0.998
