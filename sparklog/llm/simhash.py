@@ -26,10 +26,12 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 #: groups at least.
 TASK_VARIANTS, GROUP_VARIANTS, LEAST_GROUPS = 1_000_000, 150_000_000, 32
 MAX_PREFIX = 16
-#: Bits besides the fingerprint that screen a pair, as longs, and the most that may differ. Sets
-#: of similarity 0.8 differ in 38 of 256 on average, and in more than 50 one time in fifty.
+#: Bits besides the fingerprint that screen a pair, as longs, and the most that may differ. Large
+#: sets of similarity 0.8 differ in 38 of 256 on average, with a deviation of 6, and in 60 as good
+#: as never. What is within SAME of another stands with it: it differs in 60 from nothing that
+#: differs in more than APART from the other.
 CHECKS = ("c0", "c1", "c2", "c3")
-CHECK, APART = 64 * len(CHECKS), 50
+CHECK, APART, SAME = 64 * len(CHECKS), 80, 20
 
 
 def fingerprint(text: str) -> int:
@@ -73,20 +75,41 @@ def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     fps, ids, left = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["left"].to_numpy()
     group, check = pdf["group"].to_numpy(), np.ascontiguousarray(pdf[list(CHECKS)].to_numpy()).view(np.uint64)
     parts, part = int(pdf["parts"].iloc[0]), int(pdf["part"].iloc[0])
-    # Ids of one fingerprint are linked to the least of them, which then stands for all.
+    # Ids of one fingerprint are joined; the least of them stands for those as good as equal.
     order = np.lexsort((ids, fps))
     fps, ids, left, group, check = fps[order], ids[order], left[order], group[order], check[order]
     first = np.concatenate([[True], fps[1:] != fps[:-1]])
     least = np.flatnonzero(first)[np.cumsum(first) - 1]
-    more = np.flatnonzero((group != group[least]) & _close(check, np.arange(len(fps)), least))
-    out = [np.stack([ids[more], ids[least[more]]], 1)]
+    ends = np.append(np.flatnonzero(first), len(fps))
+    out = [ids[_joined(check, group, np.arange(i, j))] for i, j in zip(ends, ends[1:]) if j - i > 1]
+    first |= np.bitwise_count(check ^ check[least]).sum(1) > SAME
     out += _split_links(fps[first], ids[first], group[first], check[first], left[first], low, radius, parts, part)
     links = np.unique(np.concatenate(out), axis=0)
     return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
 def _close(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(check[a] ^ check[b]).sum(1) <= APART
+    return np.bitwise_count(check[a] ^ check[b]).sum(-1) <= APART
+
+
+def _joined(check: np.ndarray, group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Pairs of rows that are close, fewer than two a row, by which all that a chain of close
+    pairs (or a group) joins stays joined: the first row's, then those of the rows that are not
+    close to it, and so on; each of these with one of the former, if any is close."""
+    out = [np.zeros((0, 2), np.int64)]
+    while len(rows) > 1:
+        near = _close(check, rows, rows[0]) | (group[rows] == group[rows[0]])
+        near[0] = True
+        with_it, rest = rows[near], rows[~near]
+        own = with_it[group[with_it] != group[rows[0]]]
+        out.append(np.stack([own, np.full(len(own), rows[0])], 1))
+        step = max(1, 1_000_000 // len(with_it))
+        for i in range(0, len(rest) if len(with_it) > 1 else 0, step):
+            hit = _close(check, rest[i : i + step, None], with_it[None, :])
+            some = np.flatnonzero(hit.any(1))
+            out.append(np.stack([rest[i + some], with_it[hit[some].argmax(1)]], 1))
+        rows = rest
+    return np.concatenate(out)
 
 
 def _split_links(fps, ids, group, check, left, low: int, radius: int, parts: int, part: int) -> list[np.ndarray]:
@@ -146,17 +169,27 @@ def _compare(fps, ids, group, check, left, low: int, radius: int, parts: int, pa
     bucket, row = bucket[order], row[order]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     hub = row[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    near = (group[row] != group[hub]) & (np.bitwise_count(fps[row] ^ fps[hub]) <= 2 * radius) & _close(check, row, hub)
-    pair = np.sort(np.stack([ids[row[near]], ids[hub[near]]], 1), axis=1)
+    near = (group[row] != group[hub]) & _close(check, row, hub)
+    pairs = [np.stack([row[near], hub[near]], 1)]
+    # Where a member is not close to the hub, it may be to other members.
+    begins = np.append(np.flatnonzero(first), len(row))
+    far = np.add.reduceat((group[row] != group[hub]) & ~near, begins[:-1])
+    done = set()
+    for k in np.flatnonzero((far > 0) & (np.diff(begins) > 2)).tolist():
+        members = row[begins[k] : begins[k + 1]]
+        if (key := members.tobytes()) not in done:
+            done.add(key)
+            pairs.append(_joined(check, group, members))
+    pair = np.sort(ids[np.concatenate(pairs)], axis=1)
     return np.unique(pair[:, ::-1], axis=0)
 
 
 def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between ids of (table, fp, id, group, *CHECKS), all longs, within each table: of any
-    two fingerprints of `width` bits at most radius bits apart, both are linked to one id of
-    every variant that they share. What is of one group is known to be linked: no link within
+    two fingerprints of `width` bits at most radius bits apart, both are joined by links of each
+    variant that they share. What is of one group is known to be linked: no link within
     it is given. CHECKS are further bits: ids that differ in more than APART of them are not
-    linked (equal ones always may be)."""
+    linked; links join what chains of pairs that differ in 60 at most join."""
     half = radius // 2
     tables, n = rows.groupBy("table").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
     groups = max(LEAST_GROUPS / max(1, tables), (n or 0) * ball(width, half) / GROUP_VARIANTS)
@@ -207,6 +240,8 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Da
 #: For similarity of shingle sets: words of a shingle, least Jaccard similarity, fingerprints of
 #: a set and their bits.
 SET_SHINGLE, SIMILARITY, TABLES, WIDTH = 5, 0.8, 16, 40
+#: Shingles of a set that is short, and members of a block that a task compares with another.
+SHORT, BLOCK = 64, 256
 
 
 def _shingle_set(text: str) -> np.ndarray:
@@ -243,12 +278,65 @@ def _set_prints(h: np.ndarray) -> list[int]:
     return tables.tolist() + np.packbits(bits[TABLES * WIDTH :]).view("<i8").tolist()
 
 
+def _rows_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [_unpacked(x) for x in pdf["grams"]]
+
+
+def _compare_sets(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between similar sets of two blocks (or of one, where side is the same), but none
+    within a class; of each set only to the least key that it is linked to."""
+    key, known, side = pdf["key"].to_numpy(), pdf["e"].to_numpy(), pdf["side"].to_numpy()
+    sets = _rows_of(pdf)
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, at = owner[n[at] > 1], at[n[at] > 1]
+    at = np.unique(at, return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(at.max(initial=-1)) + 1, 8192):
+        i, j = np.searchsorted(at, (low, low + 8192))
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[owner[i:j], at[i:j] - low] = 1
+        both += m @ m.T
+    near = (both > 0) & (both >= similarity * (size[:, None] + size[None, :] - both)) & (known[:, None] != known[None, :])
+    if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+        near &= side[:, None] != side[None, :]
+    least = np.where(near, key[None, :], np.iinfo(np.int64).max).min(1)
+    root = np.minimum(key, least)
+    while not ((low := np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(1))) == root).all():
+        root = low
+    return pd.DataFrame({"a": key, "b": root})[root != key]
+
+
+def _similar_within(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) by similarity of sets, for (place, e, key, grams): enough to join any two
+    similar sets that have a place in common. What has one e is joined already.
+
+    The largest class of a place is compared with the others only; blocks of members are
+    compared by tasks of their own."""
+    class_size = rows.groupBy("place", "e").agg(F.count("*").alias("n"))
+    places = class_size.groupBy("place").agg(F.max(F.struct("n", "e")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("classes"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    places = staged(places.where("classes > 1").select("place", F.col("main.e").alias("main"), blocks(F.col("main.n")).alias("own"), blocks(F.col("all") - F.col("main.n")).alias("others")), "simhash")
+    dealt = rows.join(places, "place")
+    hashed = F.xxhash64("key")
+    mine = F.col("e") == F.col("main")  # the main class has sides below zero
+    dealt = dealt.withColumn("side", F.when(mine, -1 - F.pmod(hashed, F.col("own"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(mine, F.lit(0)).otherwise(-F.col("own")), F.col("others") - 1)))
+    dealt = dealt.select("place", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "e", "key", "grams")
+    return dealt.groupBy("place", "lo", "hi").applyInPandas(lambda pdf: _compare_sets(pdf, similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) of every row, linking what
     near_groups() links and also texts whose sets of 5-word shingles are similar.
 
-    Candidates are pairs that agree in a ball of any of TABLES short fingerprints of the sets
-    and in enough of CHECK further bits; the exact Jaccard similarity decides.
+    Candidates are joined by pairs that agree in a ball of any of TABLES short fingerprints of the
+    sets and in enough of CHECK further bits. These pairs are compared first, then any two that
+    such pairs join and that are not linked yet; short sets, also all that have one of their
+    rarest shingles in common. The exact Jaccard similarity decides.
     Texts of one shingle set are one class. Texts without words are one class."""
 
     def described(batches):
@@ -275,7 +363,8 @@ def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMI
     more = [F.get("prints", F.lit(TABLES + i)).alias(k) for i, k in enumerate(CHECKS)]
     rows = reps.select("key", "group", *more, F.posexplode(F.slice("prints", 1, TABLES)).alias("table", "fp")).select(F.col("table").cast("long").alias("table"), "fp", F.col("key").alias("id"), "group", *CHECKS)
     pairs = staged(ball_links(rows, WIDTH, RADIUS), "simhash")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    brief = F.length("grams") <= 4 * SHORT
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(same.select("a")).union(same.select("b")).union(own.where(brief).select("key")).distinct()
     sets = staged(own.select("key", "grams").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "simhash")
     slim = staged(own.select("doc_id", "key"), "simhash")
     drop_staged(own)
@@ -291,7 +380,26 @@ def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMI
 
     of = lambda k: sets.select(F.col("key").alias(k), F.col("grams").alias(f"g{k}"))
     similar = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ga", "gb").mapInPandas(verified, "a long, b long")
-    roots = components(staged(similar.unionByName(same).distinct(), "simhash"))
+    similar = staged(similar.unionByName(same).distinct(), "simhash")
+    linked = components(similar)
+    known = staged(sets.join(linked, sets.key == linked.node, "left").select("key", F.coalesce("root", "key").alias("e"), "grams"), "simhash")
+    # Any two that candidates join.
+    joined = components(staged(pairs.select("a", "b").unionByName(same).distinct(), "simhash"))
+    found = _similar_within(known.join(joined, F.col("key") == F.col("node")).select(F.col("root").alias("place"), "e", "key", "grams"), similarity)
+
+    # Short sets: of two similar ones, the first shingles in any one order have one in common.
+    def shingles(batches):
+        for pdf in batches:
+            lists = _rows_of(pdf)
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), [len(x) for x in lists]), "place": np.concatenate([*lists, np.zeros(0, np.uint32)]).astype(np.int64)})
+
+    each = staged(known.where(brief & (F.length("grams") > 0)).select("key", "grams").mapInPandas(shingles, "key long, place long"), "simhash")
+    common = each.groupBy("place").agg(F.count("*").alias("n"))
+    ordered = each.join(common, "place").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("l"))
+    n = F.size("l")
+    firsts = ordered.select("key", F.explode(F.slice("l", 1, n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)).alias("x")).where("x.n > 1").select("key", F.col("x.place").alias("place"))
+    found = found.unionByName(_similar_within(staged(firsts.join(known, "key").select("place", "e", "key", "grams"), "simhash"), similarity))
+    roots = components(staged(similar.unionByName(found).distinct(), "simhash"))
     rooted = reps.join(roots, reps.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = staged(rooted.join(ids, "root").select("key", "component_id"), "simhash")

@@ -131,6 +131,23 @@ def test_similar_groups(spark):
     assert sum(got[d] != want[d] for d in want) <= 2
 
 
+def test_similar_texts_of_families_and_short_ones(spark):
+    from sparklog.llm import simhash
+
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for _ in range(12):  # families that share a passage; two of each are alike, no others
+        passage, mine = [word() for _ in range(320)], [word() for _ in range(45)]
+        for k in range(6):
+            rows.append((len(rows), " ".join(passage + (mine + [word() for _ in range(20)] if k in (2, 4) else [word() for _ in range(65)]))))
+    for n in range(60):  # a word more: shingles n of n + 1
+        text = [word() for _ in range(8 + n % 30)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, word()]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()} == B.similar(rows)
+
+
 def test_op7(spark, sf):
     from sparklog.llm import decontaminate as D
 
