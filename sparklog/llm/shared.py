@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -31,12 +32,28 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Shuffle files of a write go when it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost
-    executors and gives the optimizer real sizes. Removed when the session's JVM ends."""
+    executors and gives the optimizer real sizes. Its shuffle files go at once. Removed when
+    the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _set(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
     p, fs = _fs(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
@@ -44,9 +61,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """Like staged(), as a table bucketed by a column: what gathers its rows by that column
+    needs no shuffle of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    with _set(spark, _CLEANUP, "true"):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    p, fs = _fs(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.table(table)
+    out._staged_at, out._table = path, table
+    return out
+
+
 def drop_staged(df: DataFrame) -> None:
-    """Remove a table made by staged() that nothing will read again."""
+    """Remove a table made by staged() or bucketed() that nothing will read again."""
     p, fs = _fs(df.sparkSession, df._staged_at)
+    if hasattr(df, "_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     fs.delete(p, True)
 
 

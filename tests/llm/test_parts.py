@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparklog.llm import hpyp, packing, secret_scan, simhash, simple8b, vector_dedup
+from sparklog.llm import hpyp, packing, seating, secret_scan, simhash, simple8b, vector_dedup
 from sparklog.llm.shared import components
 
 from . import brute as B
@@ -78,15 +78,142 @@ def test_components(spark):
     assert all(want[k] == v for k, v in got.items()) and {k for e in edges if e[0] != e[1] for k in e} == set(got)
 
 
-def test_seating():
+def customerwise(c, p, d, sweeps, r):
+    """Mean tables of the dishes of one restaurant: every customer leaves and is seated anew."""
+    tables, total = [[n] for n in c], np.zeros(len(c))
+    for s in range(sweeps):
+        for w in range(len(c)):
+            for _ in range(c[w]):
+                k = r.choices(range(len(tables[w])), tables[w])[0]
+                tables[w][k] -= 1
+                tables[w] = [n for n in tables[w] if n]
+                new = (seating.STRENGTH + d * sum(map(len, tables))) * p[w]
+                k = r.choices(range(len(tables[w]) + 1), [*(n - d for n in tables[w]), new])[0]
+                tables[w] = [n + (i == k) for i, n in enumerate(tables[w])] + [1] * (k == len(tables[w]))
+        if s >= sweeps // 5:
+            total += [len(x) for x in tables]
+    return total / (sweeps - sweeps // 5)
+
+
+@pytest.mark.parametrize("exact", [48, 4])
+def test_seating_as_customer_by_customer(monkeypatch, exact):
+    monkeypatch.setattr(seating, "EXACT", exact)
+    monkeypatch.setattr(seating, "memo", dict)
     r = np.random.default_rng(4)
-    c = r.integers(0, 40, 500)
-    t = hpyp.seat(c, r.random(500) * 3, 0.5, 6, r)
-    assert ((t >= (c > 0)) & (t <= c)).all() and t[c <= 1].tolist() == c[c <= 1].tolist()
-    few, many = (hpyp.seat(np.full(3000, 30), np.full(3000, a), 0.5, 6, r).mean() for a in (0.01, 5.0))
+    c, p, d = np.array([2, 3, 5, 8, 20, 1, 30, 6]), np.array([0.1, 0.05, 0.2, 0.02, 0.05, 0.01, 0.3, 0.01]), 0.6
+    now, total, n = seating.Seating.first(c), np.zeros(len(c)), 2500
+    for s in range(n):
+        now = seating.sweep(now, c, np.log(p), np.zeros(len(c), np.int64), d, r)
+        assert ((now.t >= 1) & (now.t <= c)).all() and now.sizes.sum() == c[c > exact].sum() and len(now.sizes) == now.t[c > exact].sum()
+        total += now.t * (s >= n // 5)
+    want = customerwise(c.tolist(), p.tolist(), d, 700, random.Random(1))
+    assert total / (n - n // 5) == pytest.approx(want, rel=0.17)
+
+
+def test_seating_follows_its_customers():
+    r = np.random.default_rng(5)
+    c = r.integers(0, 300, 400)
+    now, group = seating.Seating.first(c), r.integers(0, 9, 400)
+    for _ in range(6):
+        c = np.where(r.random(400) < 0.3, np.maximum(c + r.integers(-90, 90, 400), (c > 0).astype(int)), c)
+        now = seating.sweep(now, c, np.log(r.random(400) / 50), group, 0.5, r)
+        assert ((now.t >= (c > 0)) & (now.t <= c)).all() and (now.sizes > 0).all()
+        ends = np.cumsum(now.t[c > seating.EXACT])
+        assert [int(x.sum()) for x in np.split(now.sizes, ends[:-1])] == c[c > seating.EXACT].tolist()
+    few, many = (seating.sweep(seating.Seating.first(np.full(300, 30)), np.full(300, 30), np.full(300, np.log(p)), np.arange(300), 0.5, r).t.mean() for p in (1e-4, 0.9))
     assert few < many
 
 
+def plain_model(train, sweeps, seed, d, spelled):
+    """Probability of a word after two words, by a sampler that moves one customer at a time
+    through restaurants of two words, one, none."""
+    r, seats = random.Random(seed), {}
+    path = lambda a, b: [(a, b), (b,), ()]
+
+    def prob(chain, w, level=0):
+        if level == 3:
+            return spelled[w]
+        rest = seats.get(chain[level], {})
+        c, t = sum(map(sum, rest.values())), sum(map(len, rest.values()))
+        own = rest.get(w, [])
+        return ((sum(own) - d[level] * len(own)) + (seating.STRENGTH + d[level] * t) * prob(chain, w, level + 1)) / (seating.STRENGTH + c)
+
+    def add(chain, w, level=0):
+        if level == 3:
+            return
+        rest = seats.setdefault(chain[level], {})
+        own = rest.setdefault(w, [])
+        t = sum(map(len, rest.values()))
+        k = r.choices(range(len(own) + 1), [*(n - d[level] for n in own), (seating.STRENGTH + d[level] * t) * prob(chain, w, level + 1)])[0]
+        if k == len(own):
+            own.append(0)
+            add(chain, w, level + 1)
+        own[k] += 1
+
+    def drop(chain, w, level=0):
+        if level == 3:
+            return
+        own = seats[chain[level]][w]
+        k = r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            drop(chain, w, level + 1)
+
+    tokens = [(path(a, b), w) for a, b, w in train]
+    for chain, w in tokens:
+        add(chain, w)
+    total, kept = {}, 0
+    for s in range(sweeps):
+        for chain, w in tokens:
+            drop(chain, w)
+            add(chain, w)
+        if s >= sweeps // 4:
+            kept += 1
+            for a, b, w in set(train):
+                total[a, b, w] = total.get((a, b, w), 0) + prob(path(a, b), w)
+    return {k: v / kept for k, v in total.items()}
+
+
+def test_model_as_one_customer_at_a_time(spark, monkeypatch):
+    """Scores of texts against a plain sampler's, which gets the spelling as it is."""
+    r = random.Random(3)
+    voc = ["ab", "cd", "ef", "gh", "ij"]
+    texts = [" ".join(r.choice(voc if r.random() < 0.6 else voc[:2]) for _ in range(r.randrange(3, 9))) for _ in range(40)]
+    spelled = {}
+    monkeypatch.setattr(hpyp, "SWEEPS", 8)
+    monkeypatch.setattr(hpyp, "BURN_IN", 2)
+    flat = hpyp.Spelling(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+    for w in [*voc, " "]:
+        spelled[w] = float(np.exp(flat.log(hpyp._bytes_of([w.encode()])[0]).sum()))
+    monkeypatch.setattr(hpyp.Spelling, "__init__", lambda self, *a: self.__dict__.update(flat.__dict__))
+    asked = []
+    monkeypatch.setattr(hpyp, "discount", lambda a, b: asked.append(seating.discount(a, b)) or asked[-1])
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    got = {x.doc_id: x.score for x in hpyp.score(df).collect()}
+    train = []
+    for t in texts:
+        w = [" ", " ", *t.split(), " "]
+        train += list(zip(w, w[1:], w[2:]))
+    want = plain_model(train, 60, 1, asked, spelled)
+    for i, t in enumerate(texts):
+        w = [" ", " ", *t.split(), " "]
+        assert got[i] == pytest.approx(sum(math.log10(want[x]) for x in zip(w, w[1:], w[2:])), rel=0.06)
+
+
+def test_common_contexts_are_split(spark, monkeypatch):
+    """A word and a pair that most tokens follow: nothing is lost when they have many slices."""
+    r = random.Random(5)
+    texts = [" ".join(["a b"] * r.randrange(1, 30) + [r.choice("cdefg") for _ in range(5)]) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    whole = {x.doc_id: x for x in hpyp.score(df).collect()}
+    monkeypatch.setattr(hpyp, "SLICE", 200)
+    split = {x.doc_id: x for x in hpyp.score(df).collect()}
+    for i, x in whole.items():
+        assert (split[i].n_tokens, split[i].n_known, split[i].train_tokens, split[i].base_score) == (x.n_tokens, x.n_known, x.train_tokens, pytest.approx(x.base_score))
+        assert split[i].score == pytest.approx(x.score, rel=0.35)
+
+
 def test_spelling_is_a_distribution():
     keys = np.unique(np.random.default_rng(5).integers(0, 1 << (5 * hpyp.ORDER + 8), 4000))
     model = hpyp.Spelling(keys, np.random.default_rng(6).integers(1, 50, len(keys)), 1)
