@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def memo() -> dict:
     """A dictionary that lives as long as the (reused) Python worker does."""
     return sys.__dict__.setdefault("_sparklog_memo", {})

@@ -4,9 +4,9 @@ Two fingerprints at most 4 bits apart have a common variant at most 2 bits from
 distinct fingerprint emits all its variants within 2 bits. The variants are dealt by their
 leading bits: a fingerprint goes once to each prefix that one of its variants has, and the
 variants of that prefix are made and compared there, so that what is shuffled is a small part
-of all variants. All fingerprints with one variant are within 4 bits of each other; each such
-bucket gives links to one of its members only. Prefixes with many variants are split by a
-hash of the variant.
+of all variants. All fingerprints with one variant are within 4 bits of each other; what the
+variants of a prefix join is given as links to one of its members. Prefixes with many variants
+are split by a hash of the variant.
 """
 
 from __future__ import annotations
@@ -84,8 +84,33 @@ def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     out = [ids[_joined(check, group, np.arange(i, j))] for i, j in zip(ends, ends[1:]) if j - i > 1]
     first |= np.bitwise_count(check ^ check[least]).sum(1) > SAME
     out += _split_links(fps[first], ids[first], group[first], check[first], left[first], low, radius, parts, part)
-    links = np.unique(np.concatenate(out), axis=0)
-    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+    links = _forest(np.concatenate(out))
+    known = dict(zip(ids.tolist(), group.tolist()))
+    far = np.array([known[a] != known[b] for a, b in links.tolist()], bool)
+    return pd.DataFrame({"a": links[far, 0], "b": links[far, 1]})
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """For each set of ids that pairs join, pairs of each id with the one that is in the most
+    pairs: as many rows as ids, whatever the pairs."""
+    ids, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    n = np.bincount(ends.ravel(), minlength=len(ids))
+    order = np.lexsort((ids, -n, root))
+    first = np.concatenate([[True], root[order][1:] != root[order][:-1]])[: len(order)]
+    center = np.zeros(len(ids), np.int64)
+    center[order] = ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(ids) else 0
+    out = np.stack([np.maximum(ids, center), np.minimum(ids, center)], 1)[ids != center]
+    return np.unique(out, axis=0)
 
 
 def _close(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,8 +213,8 @@ def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFr
     """Links (a, b) between ids of (table, fp, id, group, *CHECKS), all longs, within each table: of any
     two fingerprints of `width` bits at most radius bits apart, both are joined by links of each
     variant that they share. What is of one group is known to be linked: no link within
-    it is given. CHECKS are further bits: ids that differ in more than APART of them are not
-    linked; links join what chains of pairs that differ in 60 at most join."""
+    it is given. CHECKS are further bits: links join what chains of pairs that differ in 60 of
+    them at most join, and nothing that chains of pairs that differ in APART don't."""
     half = radius // 2
     tables, n = rows.groupBy("table").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
     groups = max(LEAST_GROUPS / max(1, tables), (n or 0) * ball(width, half) / GROUP_VARIANTS)
