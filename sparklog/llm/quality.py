@@ -2,8 +2,9 @@
 
 A document's strength is linear in features of its text. Pairs of a good and a bad labelled
 document are preferences; their logistic loss on feature differences is minimised by Newton
-steps. A quantile of the strengths of labelled documents is the cut; the score is a logistic
-function of the strength that is 0.7 at the cut.
+steps. Then all documents get strengths, and the cut lies midway between two quantiles of those
+of all labelled documents: the low TAIL of the good ones and the high TAIL of the bad ones. The
+score is a logistic function of the strength that is 0.7 at the cut.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: The fit takes this many labelled documents of each class at most, the first by a hash of
 #: the doc_id, and so many pairs of them.
-SAMPLE, PAIRS, PENALTY = 6_000, 60_000, 1e-3
+SAMPLE, PAIRS, PENALTY, TAIL = 6_000, 60_000, 1e-3, 0.002
 CUT_SCORE = 0.7
 FEATURES = ["words", "word_len", "distinct", "letters", "symbols", "upper", "digits", "bars", "bangs", "top_word", "short_words", "lines", "repeated_lines", "sentences", "capitalised", "repeated_shingles"]
 _LETTER, _UPPER, _DIGIT, _SPACE = (np.zeros(256, bool) for _ in range(4))
@@ -83,21 +84,6 @@ class Model:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return (self._spread(x) - self.mean) / self.scale @ self.weights
 
-    def set_cut(self, x: np.ndarray, good: np.ndarray, bad_share: float) -> None:
-        """The cut is the quantile of the strengths below which the classes' errors, weighed
-        by the classes' shares in all labels, are fewest."""
-        if not good.any() or good.all():
-            return
-        s = self.strength(x)
-        order = np.argsort(s, kind="stable")
-        lost = np.concatenate([[0], np.cumsum(good[order])]) / good.sum() * (1 - bad_share)
-        kept = 1 - np.concatenate([[0], np.cumsum(~good[order])]) / (~good).sum()
-        error = lost + kept * bad_share
-        best = np.flatnonzero(error <= error.min() + 1e-12)
-        k = int(best[len(best) // 2])
-        q = np.sort(s)
-        self.cut = float((q[max(0, k - 1)] + q[min(k, len(q) - 1)]) / 2)
-
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip(self.strength(x) - self.cut, -30, 30) + np.log(CUT_SCORE / (1 - CUT_SCORE))
         return 1 / (1 + np.exp(-z))
@@ -109,33 +95,46 @@ def _matrix(texts) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels (doc_id, quality) and the documents they name. Labels without a
-    quality of 0 or 1 are not used; without both classes every document scores alike."""
+    quality of 0 or 1 are not used; of several for one document the least counts. All rows of
+    one doc_id have its label; rows with a null doc_id have none. Ties of strengths don't
+    matter. Without both classes every document scores alike."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg(1 - F.col("quality"))).first()[0] or 0.0
     picked = None
     for q in (0, 1):
         one = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         picked = one if picked is None else picked.unionByName(one)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def seen(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": list(_matrix(pdf["text"]))})
 
-    rows = texts.select("doc_id", "quality", "text").mapInPandas(seen, "doc_id long, quality int, x array<double>").toPandas()
+    texts = src.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    rows = texts.mapInPandas(seen, "doc_id long, quality int, x array<double>").toPandas()
     rows = rows.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     good = rows["quality"].to_numpy() == 1
     if not len(rows):
         x, good = np.zeros((1, len(FEATURES))), np.array([True])
     model = Model(x, good)
-    model.set_cut(x, good, float(share))
+    if good.any() and not good.all():
+        strengths = src.select("doc_id", _strength(model)(F.col("text")).alias("s")).join(known, "doc_id")
+        tails = {r.quality: r.tail for r in strengths.groupBy("quality").agg(F.percentile_approx("s", [TAIL, 1 - TAIL], 100_000).alias("tail")).collect()}
+        model.cut = (tails[1][0] + tails[0][1]) / 2
     return model
 
 
+def _strength(model: Model):
+    @F.pandas_udf("double")
+    def strength(text: pd.Series) -> pd.Series:
+        return pd.Series(model.strength(_matrix(text)))
+
+    return strength
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.7) to docs. Null texts score as
-    empty ones. Columns of docs named like those added are replaced."""
+    empty ones, repeated rows alike. Columns of docs named like those added are replaced."""
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:

@@ -48,7 +48,7 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = doc_hash(F.col("doc_id")) % 4 == 2
+    held_out = F.coalesce(doc_hash(F.col("doc_id")) % 4 == 2, F.lit(False))
     model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
