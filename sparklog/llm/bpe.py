@@ -41,13 +41,15 @@ def _may_cut(pieces: list[str]) -> np.ndarray:
 
 
 class Encoder:
-    """Texts to ids (uint32 arrays); strings of special tokens are ordinary text."""
+    """Texts to ids (uint32 arrays). Texts that hold the string of an added token are encoded
+    by the library alone, which gives that token's id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._forget()
         of_byte = {c: b for b, c in enumerate(_byte_letters())}
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
@@ -130,7 +132,8 @@ class Encoder:
         self._trim()
         seen = self.seen
         before = len(seen)
-        cut = [t.split(" ") for t in texts]
+        alone = [bool(self.added and self.added.search(t)) for t in texts]
+        cut = [[""] if a else t.split(" ") for a, t in zip(alone, texts)]
         seen.default_factory = count(before).__next__  # a new piece takes the next number
         length = np.array([len(c) - 1 for c in cut])
         at = np.fromiter(map(seen.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cut)), np.int64, int(length.sum()))
@@ -146,14 +149,14 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(size)])
         out: list = []
         for i, c in enumerate(cut):
-            if length[i] and (odd[i] or not _EDGES.match(c[0])):
+            if alone[i] or length[i] and (odd[i] or not _EDGES.match(c[0])):
                 out.append(self._plain(texts[i]))
             else:
                 out.append(np.concatenate([np.frombuffer(heads[i], dtype="<u4"), tail[upto[ends[i] - length[i]] : upto[ends[i]]]]))
         return out
 
     def _plain(self, text: str) -> np.ndarray:
-        """For texts with runs of blanks or with unusual characters beside a blank."""
+        """For texts with runs of blanks, unusual characters beside a blank, or added tokens."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
 
