@@ -106,9 +106,15 @@ def sequences(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048) -
     Rows with a null doc_id are packed like others, dealt by their text; repeated rows are
     packed as often as they stand there. Other columns are not read."""
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chars = src.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0
-    groups = max(1, -(-chars // GROUP_CHARS))
-    grp = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(groups))
+    src = src.withColumn("key", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))))
+    sizes = src.groupBy("key").agg(F.sum(F.length("text").cast("long") + 1).alias("chars"))
+    chars, most = sizes.agg(F.sum("chars"), F.max("chars")).first()
+    groups = max(1, -(-(chars or 0) // GROUP_CHARS))
+    grp = F.pmod("key", F.lit(groups))
+    if (most or 0) > 2 * GROUP_CHARS:  # rows of one key, too many for a group: dealt row by row
+        many = sizes.where(F.col("chars") > 2 * GROUP_CHARS).select("key", F.ceil(F.col("chars") / GROUP_CHARS).alias("slices"))
+        src = src.join(many, "key", "left")
+        grp = F.when(F.col("slices").isNull(), grp).otherwise(F.pmod(F.xxhash64("key", F.pmod(F.monotonically_increasing_id(), F.col("slices"))), F.lit(groups)))
     src = src.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text", grp.cast("long").alias("grp"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return src.groupBy("grp").applyInPandas(lambda pdf: _packed(pdf, tokenizer, end, capacity), schema)
