@@ -87,6 +87,14 @@ def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
     return out
 
 
+def even_slots(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a table bucketed n-fold by such numbers holds in a bucket each."""
+    k = F.col("id").cast("int")
+    found = spark.range(max(100, 25 * n)).groupBy(F.pmod(F.hash(k), F.lit(n)).alias("b")).agg(F.min(k).alias("k"))
+    got = [r.k for r in found.collect()]
+    return sorted(got) + list(range(max(got) + 1, max(got) + 1 + n - len(got)))
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove a table made by staged() or bucketed() that nothing will read again."""
     p, fs = _fs(df.sparkSession, df._staged_at)

@@ -103,7 +103,7 @@ def test_seating_as_customer_by_customer(monkeypatch, exact):
     c, p, d = np.array([2, 3, 5, 8, 20, 1, 30, 6]), np.array([0.1, 0.05, 0.2, 0.02, 0.05, 0.01, 0.3, 0.01]), 0.6
     now, total, n = seating.Seating.first(c), np.zeros(len(c)), 2500
     for s in range(n):
-        now = seating.sweep(now, c, np.log(p), np.zeros(len(c), np.int64), d, r)
+        now = seating.sweep(now, c, np.log(p), np.zeros(len(c), np.int64), d, r, np.zeros(1, np.int64))
         assert ((now.t >= 1) & (now.t <= c)).all() and now.sizes.sum() == c[c > exact].sum() and len(now.sizes) == now.t[c > exact].sum()
         total += now.t * (s >= n // 5)
     want = customerwise(c.tolist(), p.tolist(), d, 700, random.Random(1))
@@ -116,11 +116,11 @@ def test_seating_follows_its_customers():
     now, group = seating.Seating.first(c), r.integers(0, 9, 400)
     for _ in range(6):
         c = np.where(r.random(400) < 0.3, np.maximum(c + r.integers(-90, 90, 400), (c > 0).astype(int)), c)
-        now = seating.sweep(now, c, np.log(r.random(400) / 50), group, 0.5, r)
+        now = seating.sweep(now, c, np.log(r.random(400) / 50), group, 0.5, r, np.zeros(9, np.int64))
         assert ((now.t >= (c > 0)) & (now.t <= c)).all() and (now.sizes > 0).all()
         ends = np.cumsum(now.t[c > seating.EXACT])
         assert [int(x.sum()) for x in np.split(now.sizes, ends[:-1])] == c[c > seating.EXACT].tolist()
-    few, many = (seating.sweep(seating.Seating.first(np.full(300, 30)), np.full(300, 30), np.full(300, np.log(p)), np.arange(300), 0.5, r).t.mean() for p in (1e-4, 0.9))
+    few, many = (seating.sweep(seating.Seating.first(np.full(300, 30)), np.full(300, 30), np.full(300, np.log(p)), np.arange(300), 0.5, r, np.zeros(300, np.int64)).t.mean() for p in (1e-4, 0.9))
     assert few < many
 
 
