@@ -3,13 +3,15 @@
 Texts are words (runs of letters and digits, lower-cased). A document is contaminated by
 an item if some stretch of it is within an edit distance of floor(0.2 * words of the item).
 
-Windows of the items' lengths (by classes of near lengths) are embedded by the CGK random walk: step by step the walk
-writes the word it stands on and then moves on or stays, by a random bit of (step, word). So
-edit distance becomes Hamming distance, and keys of a few sampled places of the walk collide
-for similar texts. Walks and samples are repeated until a simulated recall is reached. Every
-collision is verified by an exact alignment. Windows that hold too few of the benchmark's word
-pairs to be within the distance of any item are not embedded: an edit destroys two word pairs
-at most, so this loses nothing.
+Windows of an item's size are embedded by the CGK random walk: step by step the walk writes the
+word it stands on and then moves on or stays, by a random bit of (step, word). So edit distance
+becomes Hamming distance, and keys of a few sampled places of the walk collide for similar
+texts. Items of near lengths share windows of the shortest one's size; a longer item is looked
+for by its first words and by its last. For each size the numbers of walks and of sampled
+places follow from a simulation: items with all the edits that they may have, spread or all in
+one half, must be found with probability RECALL. Every collision is verified by an exact
+alignment. Windows that hold too few of the benchmark's word pairs to be within the distance of
+any item are not embedded: an edit destroys two word pairs at most, so this loses nothing.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 
 from .shared import memo
 
-SIMILARITY, WALKS, TABLES, SAMPLED = 0.8, 5, 16, 3
+SIMILARITY, TABLES = 0.8, 16
 #: Items whose lengths differ by no more than this factor share windows of the least length.
 CLASS_FACTOR = 1.3
+#: The simulated recall, at allowed edits; items simulated; walks and sampled places to choose
+#: from (the more places, the fewer windows collide by chance).
+RECALL, TRIALS, MOST_WALKS, SAMPLES = 0.99, 100, 16, (3, 2, 1)
 #: Items that one pass looks for; a larger benchmark takes more passes over the documents.
 PASS_ITEMS = 20_000
 #: Words of text that are searched at a time.
@@ -48,10 +53,81 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Walks:
+    """CGK walks over numbered words, and LSH keys of sampled places.
+
+    Of a window's 3n steps those after 9n/4 are not made, as no place there is sampled: by then
+    the walk, which moves on at every other step, has left the window."""
+
+    def __init__(self, words: int):
+        self.words, self.made = words, {}
+
+    def bit(self, walk: int, step: int) -> np.ndarray:
+        """Whether the walk moves on, for each word."""
+        if (walk, step // 64) not in self.made:
+            of = np.arange(self.words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            self.made[walk, step // 64] = _mix(of + _mix(np.uint64(97 * (walk + 1) + (step // 64 << 20)).reshape(1)))
+        return self.made[walk, step // 64] >> np.uint64(step % 64) & np.uint64(1)
+
+    def keys(self, flat: np.ndarray, start: np.ndarray, n: int, stop: np.ndarray, walk: int, sampled: int) -> np.ndarray:
+        """Keys (window, table) of windows of n words from start, cut at stop."""
+        end, at, last = np.minimum(start + n, stop), start.copy(), len(flat) - 1
+        places = np.random.default_rng([3, n, walk]).integers(0, max(1, 9 * n // 4), (TABLES, sampled))
+        used = {}
+        for j in range(int(places.max()) + 1):
+            w = np.where(at < end, flat[np.minimum(at, last)], self.words)
+            used[j] = w
+            at = at + self.bit(walk, j)[w].astype(np.int64)
+        out = np.zeros((len(start), TABLES), np.uint64)
+        for t in range(TABLES):
+            h = np.full(len(start), (n << 16) + t, np.uint64)
+            for p in places[t].tolist():
+                h = _mix(h * np.uint64(0x100000001B3) + used[p].astype(np.uint64) + np.uint64(1))
+            out[:, t] = h
+        return out
+
+
+def plan(size: int, longest: int) -> tuple[int, int]:
+    """(walks, sampled places) for windows of a size that serve items of up to longest words."""
+    rng = np.random.default_rng([5, size, longest])
+    k, fill = allowed(longest), 0
+    lists = []
+    for trial in range(TRIALS):
+        item = np.arange(longest) + trial * longest + 1
+        text = item.tolist()
+        upto = longest if trial % 2 else max(1, longest // 2)  # spread, or all in the first half
+        for at in sorted(rng.choice(upto, min(k, upto), replace=False).tolist(), reverse=True):
+            fill -= 1
+            text[at : at + int(rng.integers(0, 2))] = [fill] * int(rng.integers(0, 2))
+        lists.append(text)
+    words = TRIALS * longest + 1
+    lists = [[x if x > 0 else words - x for x in t] for t in lists]
+    words += 1 - fill
+    flat = np.array([x for t in lists for x in t] + [0], np.int64)
+    own = np.repeat(np.arange(TRIALS), [len(t) for t in lists])
+    end = np.cumsum([len(t) for t in lists])
+    start = np.arange(len(own))
+    near = start - (end - [len(t) for t in lists])[own] <= longest - size + k
+    start, own = start[near], own[near]
+    items = np.append(np.arange(TRIALS * longest) + 1, 0)
+    head = np.arange(TRIALS) * longest
+    walks = Walks(words)
+    for sampled in SAMPLES:
+        found = np.zeros(TRIALS, bool)
+        for walk in range(MOST_WALKS):
+            got = walks.keys(flat, start, size, end[own], walk, sampled)
+            for first in (head, head + longest - size):
+                keys = walks.keys(items, first, size, head + longest, walk, sampled)
+                found[own[(got == keys[own]).any(1)]] = True
+            if found.mean() >= RECALL:
+                return walk + 1, sampled
+    return MOST_WALKS, SAMPLES[-1]
+
+
 class Index:
-    """Items by length, their word pairs and their LSH keys."""
+    """Items by length, their word pairs and their LSH keys. plans: walks and places by size."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], plans: dict[int, tuple[int, int]] | None = None):
         parsed = [(i, words_of(t)) for i, t in items]
         parsed = [(i, w) for i, w in parsed if w]
         self.items = [i for i, _ in parsed]
@@ -77,19 +153,23 @@ class Index:
         self.need = {c: min(max(0, n - 1 - 2 * allowed(n)) for n in ns) for c, ns in of_class.items()}
         self.least = {c: min(n - allowed(n) for n in ns) for c, ns in of_class.items()}
         self.most = {c: max(n + allowed(n) for n in ns) for c, ns in of_class.items()}
-        self.bits = [_mix(np.arange(v + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(97 * (r + 1))) for r in range(WALKS)]
-        rng = np.random.default_rng(3)
-        self.places = {n: np.sort(rng.integers(0, max(1, 3 * n // 2), (WALKS, TABLES, SAMPLED)), axis=2) for n in self.lengths}
-        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        self.plans = {c: (plans or {}).get(c) or plan(c, max(ns)) for c, ns in of_class.items()}
+        self.walks = Walks(v)
         flat = np.concatenate([*self.words, np.zeros(1, np.int64)]) if self.words else np.zeros(1, np.int64)
         size = np.array([len(w) for w in self.words], np.int64)
         start = np.cumsum(size) - size
         window = np.array([self.class_of[n] for n in size.tolist()], np.int64)
-        for r in range(WALKS):
-            k = self._keys(flat, start, window, start + size, r)
-            owner = np.repeat(np.arange(len(size)), TABLES)
-            order = np.argsort(k.ravel(), kind="stable")
-            self.keys.append((k.ravel()[order], owner[order]))
+        self.keys: dict[tuple[int, int], tuple] = {}  # by size and walk: keys, items, where the window begins in the item
+        for c in self.lengths:
+            mine = np.flatnonzero(window == c)
+            owner = np.concatenate([mine, mine[size[mine] > c]])
+            shift = np.concatenate([np.zeros(len(mine), np.int64), (size[mine] - c)[size[mine] > c]])
+            for walk in range(self.plans[c][0]):
+                k = self.walks.keys(flat, start[owner] + shift, c, (start + size)[owner], walk, self.plans[c][1]).ravel()
+                order = np.argsort(k, kind="stable")
+                quick = np.zeros(1 << 18, bool)
+                quick[k >> np.uint64(46)] = True
+                self.keys[c, walk] = k[order], np.repeat(owner, TABLES)[order], np.repeat(shift, TABLES)[order], quick
 
     @staticmethod
     def _slot(pair: np.ndarray) -> np.ndarray:
@@ -106,28 +186,6 @@ class Index:
             out[at[self.pairs[k] == pair]] = True
         return out
 
-    def _keys(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, stop: np.ndarray, walk: int) -> np.ndarray:
-        """Keys (window, table) of windows of size words from start, cut at stop."""
-        end = np.minimum(start + size, stop)
-        steps = max(1, 3 * int(size.max(initial=1)) // 2)
-        seen = np.zeros((steps, len(start)), np.int32)
-        at, bits, none = start.copy(), self.bits[walk], len(flat) - 1
-        for j in range(steps):
-            inside = at < end
-            w = np.where(inside, flat[np.minimum(at, none)], self.base)
-            seen[j] = w
-            at += ((bits[w] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        out = np.zeros((len(start), TABLES), np.uint64)
-        for n in np.unique(size).tolist():
-            rows = np.flatnonzero(size == n)
-            places = self.places[n][walk]
-            for t in range(TABLES):
-                h = np.full(len(rows), (n << 16) + t, np.uint64)
-                for p in places[t].tolist():
-                    h = _mix(h * np.uint64(0x100000001B3) + seen[p, rows].astype(np.uint64) + np.uint64(1))
-                out[rows, t] = h
-        return out
-
     def search(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rows (doc, item, first word, words, distance): for each document and item the
         stretch of least distance. flat: word numbers, 0 for words of no item and once more at
@@ -144,33 +202,32 @@ class Index:
         widest = max(self.most.values())
         near = upto[np.minimum(pos + widest, stop)] - upto[pos]
         pos = pos[near >= min(self.need.values())]
-        starts, sizes = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for m in self.lengths:
             enough = upto[np.minimum(pos + self.most[m], stop[pos])] - upto[pos] >= self.need[m]
-            enough &= stop[pos] - pos >= self.least[m]
-            starts.append(pos[enough])
-            sizes.append(np.full(int(enough.sum()), m))
-        start, size = np.concatenate(starts), np.concatenate(sizes)
-        found = [self._collide(flat, start[i : i + 25_000], size[i : i + 25_000], begin[doc_of], stop) for i in range(0, len(start), 25_000)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return self._verify(flat, pairs, doc_of, begin, end)
-
-    def _collide(self, flat, start, size, begin, stop) -> np.ndarray:
-        """(place, item) of windows that share a key with an item, place being the start
-        rounded down to eight words of its text: near windows are verified together."""
+            enough &= stop[pos] - pos >= self.least[m] - (self.most[m] - m)
+            start = pos[enough]
+            for i in range(0, len(start), 25_000):
+                found.append(self._collide(flat, start[i : i + 25_000], m, begin[doc_of], stop))
+        return self._verify(flat, np.unique(np.concatenate(found), axis=0), doc_of, begin, end)
+
+    def _collide(self, flat, start, n, begin, stop) -> np.ndarray:
+        """(place, item) of windows of n words that share a key with an item, place being where
+        the item would begin, rounded down to eight words of its text: near windows are
+        verified together."""
         out = []
-        for r in range(WALKS):
-            keys, owner = self.keys[r]
-            k = self._keys(flat, start, size, stop[start], r)
-            lo = np.searchsorted(keys, k.ravel(), "left")
-            many = np.searchsorted(keys, k.ravel(), "right") - lo
-            rows = np.repeat(np.arange(len(start)), TABLES)
-            hit = np.flatnonzero(many)
-            at = np.repeat(lo[hit] - (np.cumsum(many[hit]) - many[hit]), many[hit]) + np.arange(int(many[hit].sum()))
-            out.append(np.unique(np.stack([start[np.repeat(rows[hit], many[hit])], owner[at]], 1), axis=0))
-        pairs = np.concatenate(out)
-        pairs[:, 0] -= (pairs[:, 0] - begin[pairs[:, 0]]) % 8
-        return np.unique(pairs, axis=0)
+        for walk in range(self.plans[n][0]):
+            keys, owner, shift, quick = self.keys[n, walk]
+            k = self.walks.keys(flat, start, n, stop[start], walk, self.plans[n][1]).ravel()
+            some = np.flatnonzero(quick[k >> np.uint64(46)])
+            lo = np.searchsorted(keys, k[some], "left")
+            many = np.searchsorted(keys, k[some], "right") - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            place = start[np.repeat(some // TABLES, many)]
+            first = begin[place]
+            place = np.maximum(place - shift[at], first)
+            out.append(np.stack([place - (place - first) % 8, owner[at]], 1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def _verify(self, flat, pairs, doc_of, begin, end) -> np.ndarray:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -249,13 +306,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str =
     kind = "array<struct<item_id:long,first_word:int,n_words:int,distance:int,item_words:int>>"
     out = docs.withColumn(name, F.array().cast(kind))
     while items := [(r.item_id, r.text) for r in islice(rows, PASS_ITEMS)]:
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast((items, Index(items).plans))
 
         @F.pandas_udf(kind)
         def matched(texts: pd.Series) -> pd.Series:
-            kept, key = memo(), ("benchmark", hash(tuple(sent.value)))
+            kept, key = memo(), ("benchmark", hash(tuple(sent.value[0])))
             if key not in kept:
-                kept[key] = Index(sent.value)
+                kept[key] = Index(*sent.value)
             found = _matches(texts.tolist(), kept[key])
             return pd.Series([[dict(zip(("item_id", "first_word", "n_words", "distance", "item_words"), m)) for m in ms] for ms in found])
 

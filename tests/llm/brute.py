@@ -99,6 +99,21 @@ def op9(doc_id, text):
     return (doc_id, len(a), len(k), len(h), hashlib.sha256(base.encode()).hexdigest()), base
 
 
+def words7(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+def distance7(item, text):
+    """Least edits between the item's words and a stretch of the text's."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
 def ids_of(texts, end):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -236,3 +236,27 @@ def test_every_vector_has_filters_and_links_share_one(dim, n):
     assert all((total[i, f] >= least[i] - 1e-12).all() for i, f in enumerate(x.reshape(2000, -1)[:5]))
     shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(x.reshape(2000, -1), y.reshape(2000, -1))]
     assert np.mean(shared) >= 0.998
+
+
+@pytest.mark.parametrize("n", [15, 38, 60, 120, 250, 500])
+@pytest.mark.parametrize("where", ["front", "back", "spread"])
+def test_recall_of_edited_items(n, where):
+    """Items with all the edits that they may have, beside shorter and longer items."""
+    from sparklog.llm import decontaminate as D
+
+    r = random.Random(n)
+    word = lambda: f"w{r.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(m))) for i, m in enumerate([n] * 60 + [int(n / 1.25), int(n * 1.2)])]
+    texts = []
+    for _, t in items[:60]:
+        w = t.split()
+        k = D.allowed(n)
+        places = {"front": range(max(k, n // 4)), "back": range(n - max(k, n // 4), n), "spread": range(n)}[where]
+        for at in sorted(r.sample(places, k), reverse=True):
+            w[at : at + r.randrange(2)] = [word()] * r.randrange(2)
+        texts.append(" ".join([word() for _ in range(r.randrange(80))] + w + [word() for _ in range(r.randrange(80))]))
+    found = D._matches(texts, D.Index(items))
+    assert sum(any(m[0] == i for m in ms) for i, ms in enumerate(found)) >= 57
+    for t, ms in zip(texts[:6], found):
+        for i, _, _, edits, size in ms:
+            assert size == len(items[i][1].split()) and B.distance7(items[i][1].split(), t.split()) == edits <= size // 5
