@@ -31,7 +31,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     at = F.transform("base_places", lambda p: p["start"].cast("long"))
-    return found.select("doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_token_output, op4_vector_dedup, op5_quality, op6_simhash, op7_decontaminate, op8_packing, op9_secret_scan, op10_lm_score)}
-#: op1: host, path, rule and verdict with classes of aliases reached over canonical links and
+#: op2: every template at every word. op1: host, path, rule and verdict with classes of aliases reached over canonical links and
 #: redirects. op4: all pairs.
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
     "op1_url_filter": r"""
 WITH RECURSIVE rules(action, host, path) AS (VALUES ('block','net','/'),('allow','example.net','/en/'),('block','example.com','/de/'),('allow','org','/fr/')),
 p AS (SELECT page_id, url, html, CASE WHEN instr(url,'://')>0 THEN substr(url, instr(url,'://')+3) ELSE '' END AS rest FROM pages),

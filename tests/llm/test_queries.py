@@ -221,7 +221,7 @@ def test_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet/*.parquet')")
     for name, sql in Q.ORACLE_SQL.items():
         df = Q.QUERIES[name](spark, sf)
