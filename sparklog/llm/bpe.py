@@ -58,7 +58,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        kept = memo()
+        kept = memo("bpe")
         if ("bpe", path) not in kept:
             kept["bpe", path] = cls(path)
         return kept["bpe", path]

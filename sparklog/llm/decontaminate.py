@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import memo
+from .shared import memo, trim
 
 SIMILARITY, TABLES = 0.8, 16
 #: Items whose lengths differ by no more than this factor share windows of the least length.
@@ -310,10 +310,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str =
 
         @F.pandas_udf(kind)
         def matched(texts: pd.Series) -> pd.Series:
-            kept, key = memo(), ("benchmark", hash(tuple(sent.value[0])))
+            kept, key = memo("decontaminate"), ("benchmark", hash(tuple(sent.value[0])))
             if key not in kept:
                 kept[key] = Index(*sent.value)
             found = _matches(texts.tolist(), kept[key])
+            trim()
             return pd.Series([[dict(zip(("item_id", "first_word", "n_words", "distance", "item_words"), m)) for m in ms] for ms in found])
 
         out = out.withColumn(name, F.concat(name, matched(F.coalesce(F.col(text), F.lit("")))))

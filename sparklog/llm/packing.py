@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
+from .shared import trim
 
 #: Characters of text in a group, about; more documents make more groups.
 GROUP_CHARS = 6_000_000
@@ -95,6 +96,7 @@ def _packed(pdf: pd.DataFrame, path: str, end: int, capacity: int) -> pd.DataFra
         offset = fill.get(b, 0)
         fill[b] = offset + n
         rows.append((doc[d] if known[d] else None, at, n, zlib.crc32(ids[d][at : at + n].astype("<u4").tobytes()), len(ids[d]), (group << 32) + b, offset))
+    trim()
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     return out.astype({"doc_id": "Int64"})
 

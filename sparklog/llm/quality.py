@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import memo
+
 #: The fit takes this many labelled documents of each class at most, the first by a hash of
 #: the doc_id, and so many pairs of them.
 SAMPLE, PAIRS, PENALTY, TAIL = 6_000, 60_000, 1e-3, 0.002
@@ -127,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def _strength(model: Model):
     @F.pandas_udf("double")
     def strength(text: pd.Series) -> pd.Series:
+        memo("quality")
         return pd.Series(model.strength(_matrix(text)))
 
     return strength
@@ -138,6 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
+        memo("quality")
         return pd.Series(model.score(_matrix(text)))
 
     out = docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, hpyp, license_scan, packing, quality, secret_scan, simhash, token_output, url_filter, vector_dedup
-from .shared import doc_hash, shared_dir
+from .shared import doc_hash, modest_batches, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

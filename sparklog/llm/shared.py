@@ -22,9 +22,28 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def memo() -> dict:
-    """A dictionary that lives as long as the (reused) Python worker does."""
-    return sys.__dict__.setdefault("_sparklog_memo", {})
+def memo(owner: str) -> dict:
+    """A dictionary of one operator that lives as long as the (reused) Python worker does, or
+    until another operator works there: what many memos hold would add up."""
+    kept = sys.__dict__.setdefault("_sparklog_memo", {})
+    others = [k for k in kept if k != owner]
+    for k in others:
+        del kept[k]
+    if others:
+        trim()
+    return kept.setdefault(owner, {})
+
+
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 16 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Limits the bytes of rows that Python workers of this session get at a time: texts may
+    be long, and JVM and worker hold several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):  # else someone has chosen
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = memo().setdefault("shared_dir", tempfile.mkdtemp(prefix="sparklog-"))
+        at = sys.__dict__.setdefault("_sparklog_shared", None) or tempfile.mkdtemp(prefix="sparklog-")
+        sys._sparklog_shared = at
     return at.rstrip("/")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import components, drop_staged, staged
+from .shared import components, drop_staged, memo, staged, trim
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Variants that a task compares at a time, about, and that all come to one group of a prefix;
@@ -84,9 +84,11 @@ def _bucket_links(pdf: pd.DataFrame, low: int, radius: int) -> pd.DataFrame:
     out = [ids[_joined(check, group, np.arange(i, j))] for i, j in zip(ends, ends[1:]) if j - i > 1]
     first |= np.bitwise_count(check ^ check[least]).sum(1) > SAME
     out += _split_links(fps[first], ids[first], group[first], check[first], left[first], low, radius, parts, part)
+    memo("simhash")
     links = _forest(np.concatenate(out))
     known = dict(zip(ids.tolist(), group.tolist()))
     far = np.array([known[a] != known[b] for a, b in links.tolist()], bool)
+    trim()
     return pd.DataFrame({"a": links[far, 0], "b": links[far, 1]})
 
 
@@ -365,6 +367,7 @@ def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMI
     Texts of one shingle set are one class. Texts without words are one class."""
 
     def described(batches):
+        memo("simhash")
         for pdf in batches:
             rows = []
             for known, doc, t in zip(pdf["known"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist()):
@@ -374,6 +377,7 @@ def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMI
             out = pd.DataFrame(rows, columns=["doc_id", "fp", "key", "prints", "grams"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        trim()
 
     src = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = staged(src.mapInPandas(described, "doc_id long, fp long, key long, prints array<long>, grams binary"), "simhash")

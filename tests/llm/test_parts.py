@@ -98,7 +98,7 @@ def customerwise(c, p, d, sweeps, r):
 @pytest.mark.parametrize("exact", [48, 4])
 def test_seating_as_customer_by_customer(monkeypatch, exact):
     monkeypatch.setattr(seating, "EXACT", exact)
-    monkeypatch.setattr(seating, "memo", dict)
+    monkeypatch.setattr(seating, "memo", lambda owner: {})
     r = np.random.default_rng(4)
     c, p, d = np.array([2, 3, 5, 8, 20, 1, 30, 6]), np.array([0.1, 0.05, 0.2, 0.02, 0.05, 0.01, 0.3, 0.01]), 0.6
     now, total, n = seating.Seating.first(c), np.zeros(len(c)), 2500
