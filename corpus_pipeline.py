@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from sparklog.llm import decontaminate, packing, quality, secret_scan, simhash
 from sparklog.llm.queries import tokenizer
-from sparklog.llm.shared import staged
+from sparklog.llm.shared import modest_batches, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from labels, accepts."""
+    modest_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
