@@ -12,7 +12,7 @@ from ..plans.builtins import all_builtins
 from ..plans.filter_lang import compile_filter
 from ..plans.template import FilterError, LogError, Template
 from .detect import detect
-from .parse import parse, visible
+from .parse import mark, parse, visible
 
 #: Characters of a value that are shown by default, and the page's overlap.
 SHOWN, OVERLAP = 500, 2
@@ -22,43 +22,46 @@ class LogFrame:
     """Lines parsed by a template and filtered. Immutable: methods give new frames, and every
     result is a lazy DataFrame over rows()."""
 
-    def __init__(self, lines: DataFrame, template: Template | None = None, expression: str | None = None, blocks: bool = True):
-        self.lines, self.blocks = lines, blocks
+    def __init__(self, lines: DataFrame, template: Template | None = None, expression: str | None = None, blocks: bool = True, fields: list[str] | None = None):
+        """fields: those that rows have in f and n, all by default; parsing fewer is faster."""
+        self.lines, self.blocks, self.fields = lines, blocks, fields
         self.template = template or detect(lines)
         self.expression = expression
         if expression is not None:
             compile_filter(expression, self.template)
-        self._parsed = parse(lines, self.template, blocks)
+        self._cached: DataFrame | None = None
 
     def cache(self) -> "LogFrame":
-        """Keeps the parsed rows; later filters and look-ups read them."""
-        self._parsed = self._parsed.persist()
+        """Keeps the parsed rows, with all fields; later filters and look-ups read them."""
+        self._cached = parse(self.lines, self.template, self.blocks).persist()
         return self
 
     def parsed(self) -> DataFrame:
-        return self._parsed
+        return parse(self.lines, self.template, self.blocks, self.fields) if self._cached is None else self._cached
 
     def marked(self) -> DataFrame:
         """All rows with visible."""
-        return visible(self._parsed, self.template, self.expression, self.blocks)
+        if self._cached is not None:
+            return visible(self._cached, self.template, self.expression, self.blocks)
+        return mark(self.lines, self.template, self.expression, self.blocks, self.fields)
 
     def rows(self) -> DataFrame:
         """The visible rows."""
         return self.marked().where("visible").drop("visible", "block")
 
-    def _with(self, template: Template, expression: str | None, parsed: DataFrame | None = None) -> "LogFrame":
-        out = LogFrame.__new__(LogFrame)
-        out.lines, out.blocks, out.template, out.expression = self.lines, self.blocks, template, expression
-        out._parsed = parse(self.lines, template, self.blocks) if parsed is None else parsed
+    def _with(self, template: Template, expression: str | None, cached: DataFrame | None = None) -> "LogFrame":
+        fields = self.fields if template is self.template else None
+        out = LogFrame(self.lines, template, expression, self.blocks, fields)
+        out._cached = cached
         return out
 
     def filter(self, expression: str) -> "LogFrame":
         """The same rows under another filter; FilterError if it can't be compiled."""
         compile_filter(expression, self.template)
-        return self._with(self.template, expression, self._parsed)
+        return self._with(self.template, expression, self._cached)
 
     def clear(self) -> "LogFrame":
-        return self._with(self.template, None, self._parsed)
+        return self._with(self.template, None, self._cached)
 
     def with_template(self, template: Template) -> tuple["LogFrame", str | None]:
         """The lines parsed anew. A filter that the new template can't take is dropped; then
@@ -75,52 +78,59 @@ class LogFrame:
         return self.marked().agg(F.count("*").alias("total"), F.count_if("matched").alias("matched"), F.count_if("visible").alias("visible"))
 
     def entries(self) -> DataFrame:
-        """One row an entry: its line, and its continuations as an array in order."""
+        """One row an entry: its line, and its continuations as an array in order. An entry is
+        one row whatever its length: for logs, not for one entry of a whole file."""
         rows = self.rows()
         more = F.array_sort(F.collect_list(F.when(F.col("cont"), F.struct("lineno", "raw"))))
         head = F.max_by(F.struct("lineno", "raw", "matched", "f", "n"), F.when(~F.col("cont"), F.lit(1)))
         return rows.groupBy("path", "entry_id").agg(head.alias("head"), F.transform(more, lambda m: m["raw"]).alias("continuations")).select("path", "entry_id", "head.*", "continuations")
 
-    # Positions: (path, lineno) of one file; keyset look-ups, no global numbering.
+    # Positions: keyset look-ups, no global numbering. With several files a position is a path
+    # and a line, in that order; without a path all lines count as of one file.
 
-    def goto(self, lineno: int) -> DataFrame:
-        """The first visible row at or after a line, else the last one."""
-        return self._nearest(F.col("lineno") >= lineno)
+    def _at(self, lineno: int, path: str | None):
+        """The rows' positions, and the position of a line."""
+        if path is None:
+            return F.struct("lineno", "path"), F.struct(F.lit(lineno).cast("long").alias("lineno"), F.lit("").alias("path"))
+        return F.struct("path", "lineno"), F.struct(F.lit(path).alias("path"), F.lit(lineno).cast("long").alias("lineno"))
+
+    def _order(self, path: str | None, forward: bool = True) -> list:
+        return [k if forward else F.desc(k) for k in (("lineno", "path") if path is None else ("path", "lineno"))]
 
-    def _nearest(self, ahead) -> DataFrame:
-        # One scan: the rows that answer sort before all others, which sort backwards.
-        key = [F.when(ahead, 0).otherwise(1), F.when(ahead, F.col("lineno")).otherwise(-F.col("lineno"))]
-        return self.rows().orderBy(*key).limit(1)
+    def goto(self, lineno: int, path: str | None = None) -> DataFrame:
+        """The first visible row at or after a line, else the last one."""
+        here, want = self._at(lineno, path)
+        rows = self.rows().withColumn("_ahead", here >= want)
+        ahead, back = rows.where("_ahead").orderBy(*self._order(path)).limit(1), rows.where("not _ahead").orderBy(*self._order(path, False)).limit(1)
+        return ahead.unionByName(back).orderBy(F.desc("_ahead")).limit(1).drop("_ahead")
 
-    def search(self, text: str, cursor: int = 1, forward: bool = True, inclusive: bool = True) -> DataFrame:
+    def search(self, text: str, cursor: int = 1, forward: bool = True, inclusive: bool = True, path: str | None = None) -> DataFrame:
         """The next visible row whose raw line has the text (ASCII case ignored), and wrapped:
         whether the search went over the log's end. inclusive: the cursor's own row counts."""
-        line = F.col("lineno")
+        here, want = self._at(cursor, path)
+        own = (F.col("lineno") == cursor) & (F.lit(True) if path is None else F.col("path") == path)
+        behind = here < want if forward else here > want
+        behind = (behind & ~own) if inclusive else (behind | own)
         hits = self.rows().where(F.contains(ascii_lower(F.col("raw")), F.lit(lower_literal(text))))
-        if forward:
-            before = line < cursor if inclusive else line <= cursor
-            order = [before.cast("int"), line]
-        else:
-            before = line > cursor if inclusive else line >= cursor
-            order = [before.cast("int"), -line]
-        return hits.withColumn("wrapped", before).orderBy(*order).limit(1)
-
-    def page(self, cursor: int, rows: int, forward: bool = True) -> DataFrame:
+        return hits.withColumn("wrapped", behind).orderBy("wrapped", *self._order(path, forward)).limit(1)
+
+    def page(self, cursor: int, rows: int, forward: bool = True, path: str | None = None) -> DataFrame:
         """So many visible rows from a line on, or up to it."""
-        some = self.rows()
-        if forward:
-            return some.where(F.col("lineno") >= cursor).orderBy("lineno").limit(rows)
-        return some.where(F.col("lineno") <= cursor).orderBy(F.desc("lineno")).limit(rows).orderBy("lineno")
+        here, want = self._at(cursor, path)
+        own = (F.col("lineno") == cursor) & (F.lit(True) if path is None else F.col("path") == path)
+        some = self.rows().where((here >= want if forward else here <= want) | own)
+        return some.orderBy(*self._order(path, forward)).limit(rows).orderBy(*self._order(path))
 
     def first(self) -> DataFrame:
-        return self.rows().orderBy("lineno").limit(1)
+        return self.rows().orderBy("path", "lineno").limit(1)
 
     def last(self) -> DataFrame:
-        return self.rows().orderBy(F.desc("lineno")).limit(1)
+        return self.rows().orderBy(F.desc("path"), F.desc("lineno")).limit(1)
 
-    def position(self, lineno: int) -> DataFrame:
+    def position(self, lineno: int, path: str | None = None) -> DataFrame:
         """Rank of a line among the visible ones, their number, and the share in per cent."""
-        at = F.count_if(F.col("lineno") <= lineno)
+        here, want = self._at(lineno, path)
+        at = F.count_if(here <= want if path is not None else F.col("lineno") <= lineno)
         return self.rows().agg(at.alias("rank"), F.count("*").alias("of"), F.coalesce(F.floor(at * 100 / F.nullif(F.count("*"), F.lit(0))), F.lit(0)).cast("long").alias("percent"))
 
     def inspect(self, lineno: int | None = None, shown: int = SHOWN) -> DataFrame:

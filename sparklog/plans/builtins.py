@@ -18,12 +18,18 @@ DEFINITIONS = [
     ("apache", "Apache access log", ['%{host} %{ident} %{user} [%{timestamp}] "%{request}" %{status} %{size}'], {"host": "type=word", "ident": "type=word", "user": "type=word", "timestamp": 'type=timestamp format="%d/%b/%Y:%H:%M:%S %z"', "request": "type=string", "status": "type=int", "size": "type=word unit=bytes"}),
 ]
 
+#: Colours of the built-ins' fields, by name.
+COLORS = {
+    "timestamp": "#8A8A8A", "time": "#8A8A8A", "host": "#5FAFD7", "proc": "#00AFAF", "process": "#00AFAF", "logger": "#00AFAF",
+    "thread": "#626262", "activity": "#626262", "pid": "#626262", "ttl": "#626262", "ident": "#626262", "user": "#626262", "size": "#626262",
+}
+
 
 @cache
 def all_builtins() -> dict[str, Template]:
     out = {}
     for name, description, entries, fields in DEFINITIONS:
-        text = [f"name: {name}", f"description: {description}", *(f"entry: {e}" for e in entries), *(f"field {k}: {v}" for k, v in fields.items())]
+        text = [f"name: {name}", f"description: {description}", *(f"entry: {e}" for e in entries), *(f"field {k}: {v}" + (f" color={COLORS[k]}" if k in COLORS else "") for k, v in fields.items())]
         out[name] = parse("\n".join(text))
     return out
 

@@ -205,3 +205,17 @@ def to_column(node: Node, template: Template) -> Column:
 def compile_filter(text: str, template: Template) -> Column:
     """A filter expression as a boolean column over rows parsed by the template."""
     return to_column(parse(text, template), template)
+
+
+def names_of(text: str, template: Template) -> set[str]:
+    """What a filter looks at: fields, raw, line."""
+    def walk(node: Node) -> set:
+        return {node.field} - {None} | {f for p in node.parts for f in walk(p)}
+
+    return {x if isinstance(x, str) else template.fields[x].name for x in walk(parse(text, template))}
+
+
+def fields_of(text: str, template: Template) -> list[str]:
+    """The fields that a filter looks at."""
+    seen = names_of(text, template)
+    return [f.name for f in template.fields if f.name in seen]

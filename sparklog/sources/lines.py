@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,25 +25,61 @@ def strip_cr(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\z", "")
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of text files. Only a newline ends a line; one trailing carriage return goes.
+#: Blocks (one for each 128 MB of a file, or each file) of which a table of one row each is
+#: broadcast; of more the optimizer chooses.
+FEW_BLOCKS = 200_000
 
-    Line numbers: rows of a file block are numbered in the order of the scan, and a prefix sum
-    over one row a block says how many lines come before the block. Nothing but those rows
-    (one for each 128 MB of a file, or each file) is shuffled or broadcast. LogIOError if a path can't be read."""
+
+@dataclass
+class Scan:
+    """Files as they are scanned. text: (path, block, _id, raw), rows of a block one after
+    another, _id growing; few: whether a table of one row a block may be broadcast."""
+
+    text: DataFrame
+    few: bool
+    paths: list[str]
+
+    def numbered(self, text: DataFrame, *more: Column) -> DataFrame:
+        """(path, block, _lo, _before): the first _id of each block and the lines before it;
+        more: aggregates of a block's rows."""
+        blocks = text.groupBy("path", "block").agg(F.min("_id").alias("_lo"), F.count("*").alias("_n"), *more)
+        before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+    def join(self, text: DataFrame, blocks: DataFrame) -> DataFrame:
+        return text.join(F.broadcast(blocks) if self.few else blocks, ["path", "block"])
+
+
+def scan_of(lines: DataFrame) -> Scan | None:
+    """What read_lines() scans, if these are its lines."""
+    return getattr(lines, "_sparklog_scan", None)
+
+
+def _stored(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     try:
-        text = spark.read.option("lineSep", "\n").text(paths)
+        return spark.read.option("lineSep", "\n").text(paths)
     except AnalysisException as e:
         raise LogIOError(str(e).splitlines()[0]) from e
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of text files. Only a newline ends a line; one trailing carriage return goes.
+
+    Line numbers: rows of a file block are numbered in the order of the scan, and a prefix sum
+    over one row a block says how many lines come before the block. Nothing but those rows is
+    shuffled, and broadcast where they are few. LogIOError if a path can't be read."""
+    text = _stored(spark, paths)
+    listed = sorted(text.inputFiles())
     rows = text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_id"), strip_cr(F.col("value")).alias("raw"),
     )
-    blocks = rows.groupBy("path", "block").agg(F.min("_id").alias("_lo"), F.count("*").alias("_n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = rows.join(F.broadcast(blocks), ["path", "block"])
-    return numbered.select("path", "block", (F.col("_id") - F.col("_lo") + F.col("_before") + 1).alias("lineno"), "raw")
+    size = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scan = Scan(rows, len(listed) + size // (32 << 20) <= FEW_BLOCKS, listed)
+    numbered = scan.join(rows, scan.numbered(rows))
+    out = numbered.select("path", "block", (F.col("_id") - F.col("_lo") + F.col("_before") + 1).alias("lineno"), "raw")
+    out._sparklog_scan = scan
+    return out
 
 
 def lines_from_text(df: DataFrame, text: str, path: str | Column = "", keep: list[str] | None = None) -> DataFrame:
@@ -76,11 +113,21 @@ def lines_from_iterable(spark: SparkSession, chunks: Iterable[str], path: str =
 
 
 def sample(lines: DataFrame, n: int, indented: bool = True) -> list[str]:
-    """The first n lines that are not empty (nor indented, if so asked)."""
-    some = lines.where(F.length("raw") > 0)
-    if not indented:
-        some = some.where(~F.substring("raw", 1, 1).isin(" ", "\t"))
-    return [r.raw for r in some.orderBy("path", "lineno").limit(n).select("raw").collect()]
+    """The first n lines that are not empty (nor indented, if so asked). Of files only the
+    head is read."""
+    def wanted(some: DataFrame) -> DataFrame:
+        some = some.where(F.length("raw") > 0)
+        return some if indented else some.where(~F.substring("raw", 1, 1).isin(" ", "\t"))
+
+    if (scan := scan_of(lines)) is None:
+        return [r.raw for r in wanted(lines).orderBy("path", "lineno").limit(n).select("raw").collect()]
+    out: list[str] = []
+    for path in scan.paths:
+        head = _stored(lines.sparkSession, path).select(strip_cr(F.col("value")).alias("raw"))
+        out += [r.raw for r in wanted(head).limit(n - len(out)).collect()]
+        if len(out) == n:
+            break
+    return out
 
 
 def read_template(spark: SparkSession, path: str) -> Template:
@@ -90,3 +137,14 @@ def read_template(spark: SparkSession, path: str) -> Template:
     except AnalysisException as e:
         raise LogIOError(str(e).splitlines()[0]) from e
     return parse("".join(r.value for r in rows))
+
+
+def write_template(spark: SparkSession, template: Template, path: str) -> None:
+    """A template's definition as a file in any store that Spark writes; never over another."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(where):
+        raise LogIOError(f"{path} is there already")
+    out = store.create(where, False)
+    out.write(bytearray(template.to_lxt().encode()))
+    out.close()

@@ -76,3 +76,46 @@ def test_numbered_lines_are_dealt_by_ranges(spark, tmp_path, monkeypatch):
         assert {r.lineno: r.entry_id for r in parse(rows, t).collect()} == want
         shown = {r.lineno for r in filter_entries(parse(rows, t), t, "level == ERROR").collect()}
         assert shown == {i for i in want if "ERROR" in text[want[i] - 1]}
+
+
+@pytest.mark.parametrize("size", ["128m", "700"])
+@pytest.mark.parametrize("expression", ["level == ERROR", "line > 40 && level != INFO", "not level == ERROR", "raw ~ HEADER", "message ~ m7"])
+def test_scan_order_and_windows_agree(spark, tmp_path, size, expression):
+    from sparklog.sources.lines import lines_from_rows
+
+    text = write(tmp_path / "a.log", 90)
+    (tmp_path / "b.log").write_text("# HEADER\n  of b\n" + "\n".join(text[50:160]) + "\n")
+    texts = {"a.log": text, "b.log": ["# HEADER", "  of b", *text[50:160]]}
+    t = builtin("python")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        kept = LogFrame(read_lines(spark, str(tmp_path)), t, expression)
+        got = {(r.path.rsplit("/", 1)[1], r.lineno): (r.entry_id, r.visible, r.raw, r.f.message) for r in kept.marked().collect()}
+        again = {(r.path.rsplit("/", 1)[1], r.lineno) for r in LogFrame(read_lines(spark, str(tmp_path)), t).cache().filter(expression).rows().collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    df = spark.createDataFrame([(p, i, x) for p, rows in texts.items() for i, x in enumerate(rows, 1)], "p string, i long, x string").repartition(5)
+    other = LogFrame(lines_from_rows(df, "x", "i", "p"), t, expression)
+    want = {(r.path, r.lineno): (r.entry_id, r.visible, r.raw, r.f.message) for r in other.marked().collect()}
+    assert got == want and again == {k for k, v in want.items() if v[1]}
+    for p, rows in texts.items():
+        entry = 0
+        for i, x in enumerate(rows, 1):
+            entry = entry if (x.startswith("  ") or x.startswith("#")) and i > 1 else i
+            assert got[p, i][0] == entry and got[p, i][1] == got[p, entry][1] and got[p, i][2] == x
+
+
+def test_positions_in_several_files(spark, tmp_path):
+    for name, n in (("a.log", 5), ("b.log", 8)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(1, n + 1)))
+    log = LogFrame(read_lines(spark, str(tmp_path)), builtin("plain"))
+    a, b = sorted(r.path for r in log.rows().select("path").distinct().collect())
+    raws = lambda df: [r.raw for r in df.collect()]
+    assert raws(log.goto(4, a)) == ["a.log 4"] and raws(log.goto(7, a)) == ["b.log 1"] and raws(log.goto(99, b)) == ["b.log 8"]
+    assert raws(log.page(4, 4, path=a)) == ["a.log 4", "a.log 5", "b.log 1", "b.log 2"]
+    assert raws(log.page(2, 4, False, b)) == ["a.log 4", "a.log 5", "b.log 1", "b.log 2"]
+    assert raws(log.search("LOG 1", 2, path=a)) == ["b.log 1"] and raws(log.search("log 1", 2, path=b)) == ["a.log 1"]
+    assert raws(log.search("log 5", 1, False, path=b)) == ["a.log 5"]
+    assert raws(log.first()) == ["a.log 1"] and raws(log.last()) == ["b.log 8"]
+    assert log.position(2, b).first()["rank"] == 7
