@@ -24,6 +24,8 @@ from .shared import components, staged
 #: Filters of every vector, vectors of a label in a filter on average, members of a chunk of a
 #: large bucket, and the least dimensions and most code words of a block.
 FILTERS, BUCKET, CHUNK, LEAST_DIM, MOST_WORDS = 36, 6, 1500, 8, 512
+#: Members of a bucket whose pairs are listed, and pairs that are compared at a time.
+FEW, PAIRS = 64, 200_000
 
 
 class CapFilters:
@@ -67,24 +69,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters_of(stats: dict):
-    made: dict = {}
-
-    def get(label: int, dim: int) -> CapFilters:
-        if (label, dim) not in made:
-            made[label, dim] = CapFilters(dim, stats[label, dim])
-        return made[label, dim]
-
-    return get
-
-
-def _emit(batches, stats: dict):
-    get = _filters_of(stats)
+def _emit(batches):
+    """A row for each filter of each vector. n: vectors of its label and length; labels of about
+    as many share their filters."""
+    made: dict[tuple[int, int], CapFilters] = {}
     for pdf in batches:
-        for (label, dim), part in pdf.groupby(["label", "dim"]):
+        pdf = pdf.assign(power=np.ceil(np.log2(pdf["n"])).astype(int))
+        for (label, dim, power), part in pdf.groupby(["label", "dim", "power"]):
+            caps = made.setdefault((dim, power), None) or CapFilters(dim, (1 << power) * FILTERS // BUCKET)
+            made[dim, power] = caps
             x = np.frombuffer(b"".join(np.asarray(e, "<f8").tobytes() for e in part["embedding"]), "<f8").reshape(-1, dim)
             for i in range(0, len(x), 1000):
-                row, code = get(label, dim).decode(_unit(x[i : i + 1000]))
+                row, code = caps.decode(_unit(x[i : i + 1000]))
                 ends = np.searchsorted(row, np.arange(len(x[i : i + 1000]) + 1))
                 some = part.iloc[i + row]
                 lists = [np.sort(code[a:b]).astype("<i8").tobytes() for a, b in zip(ends, ends[1:])]
@@ -132,26 +128,66 @@ def _verify(group: pd.DataFrame, least: float) -> list[tuple[int, int, int]]:
         if (low == root).all():
             break
         root = low
-    return list(zip(rep.tolist(), counted.tolist(), root.tolist()))
+    return list(zip(rep.tolist(), counted.astype(np.int64).tolist(), root.tolist()))
+
+
+def _small(rows: pd.DataFrame, begin: np.ndarray, size: np.ndarray, least: float) -> list[np.ndarray]:
+    """The same for many buckets of a few members at once, given where each begins: their pairs
+    side by side. Rows (rep, links counted, smallest rep linked)."""
+    out, done = [], 0
+    load = np.cumsum(size * (size - 1) // 2)
+    while done < len(begin):
+        upto = max(done + 1, int(np.searchsorted(load, (load[done - 1] if done else 0) + PAIRS, "right")))
+        first, n = begin[done:upto], size[done:upto]
+        done = upto
+        i, member = _ranges(n)  # each member, then those after it in its bucket
+        k, step = _ranges(n[i] - 1 - member)
+        a = first[i[k]] + member[k]
+        b = a + 1 + step
+        dim = rows["dim"].to_numpy()[a]
+        for width in np.unique(dim).tolist():
+            x, y = a[dim == width], b[dim == width]
+            used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            v = np.frombuffer(b"".join(rows["x"].iloc[used]), "<f8").reshape(-1, width)
+            at = at.reshape(2, -1)
+            norm = np.linalg.norm(v, axis=1)
+            near = np.einsum("ij,ij->i", v[at[0]], v[at[1]]) / (norm[at[0]] * norm[at[1]]) >= least
+            x, y = x[near], y[near]
+            rep, mult, code = rows["rep"].to_numpy(), rows["mult"].to_numpy(), rows["filter"].to_numpy()
+            own = {r: np.frombuffer(rows["all"].iloc[r], "<i8") for r in np.unique(np.concatenate([x, y])).tolist()}
+            new = np.array([not len(np.intersect1d(own[p][own[p] < code[p]], own[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())], bool)
+            low = np.minimum(rep[x], rep[y])
+            out += [np.stack([rep[x], mult[y] * new, low], 1), np.stack([rep[y], mult[x] * new, low], 1)]
+    return out
+
+
+def _ranges(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number, so many rows: its index, and 0, 1, ..."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _buckets(batches, least: float):
     """Runs of rows with one key, across batches; the rows come sorted by key."""
     keys, held = ["label", "dim", "filter", "lo", "hi"], None
+
+    def verified(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        begin, size = edges[:-1], np.diff(edges)
+        few = (size > 1) & (size <= FEW) & ~pdf["two"].to_numpy()[begin]
+        out = _small(pdf, begin[few], size[few], least)
+        for a, n in zip(begin[~few & (size > 1)].tolist(), size[~few & (size > 1)].tolist()):
+            out.append(np.array(_verify(pdf.iloc[a : a + n], least), np.int64).reshape(-1, 3))
+        return pd.DataFrame(np.concatenate([np.zeros((0, 3), np.int64), *out]), columns=["rep", "n", "root"])
+
     for pdf in batches:
         if held is not None and len(held):
             pdf = pd.concat([held, pdf], ignore_index=True)
         k = pdf[keys].to_numpy()
-        cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        edges = [0, *cut.tolist()]
-        out = [r for a, b in zip(edges, edges[1:]) if b - a > 1 for r in _verify(pdf.iloc[a:b], least)]
+        edges = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1])
+        yield verified(pdf, edges)
         held = pdf.iloc[edges[-1] :]
-        if out:
-            yield pd.DataFrame(out, columns=["rep", "n", "root"])
     if held is not None and len(held) > 1:
-        out = _verify(held, least)
-        if out:
-            yield pd.DataFrame(out, columns=["rep", "n", "root"])
+        yield verified(held.reset_index(drop=True), np.array([0, len(held)]))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -168,9 +204,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     src = src.withColumn("ok", ok).withColumn("h", F.xxhash64("embedding"))
     reps = staged(src.where("ok").groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding")), "caps")
 
-    # Labels are classes: their sizes.
-    stats = {(r.label, r.dim): r.n * FILTERS // BUCKET for r in reps.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    rows = staged(reps.mapInPandas(lambda it: _emit(it, stats), "label long, dim int, filter long, rep long, mult long, x binary, all binary"), "caps")
+    sized = reps.join(reps.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"])
+    rows = staged(sized.mapInPandas(_emit, "label long, dim int, filter long, rep long, mult long, x binary, all binary"), "caps")
     key = ["label", "dim", "filter"]
     big = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > 2 * CHUNK)
     big = staged(big.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).drop("size"), "caps")
