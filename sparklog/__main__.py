@@ -9,7 +9,8 @@ from .operators.infer import infer
 from .operators.logframe import LogFrame
 from .plans.builtins import all_builtins, builtin
 from .plans.template import LogError, LogIOError, load
-from .sources.lines import lines_from_iterable, read_lines
+from .sources.lines import lines_from_iterable, read_lines, write_template
+from .streaming.pipe import follow_stream
 
 
 def _session():
@@ -28,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-l", "--list", action="store_true", help="list the built-in templates")
     p.add_argument("-e", "--export", metavar="NAME", help="print a built-in template's definition")
     p.add_argument("-w", "--wizard", metavar="NAME", help="print a definition inferred from the log")
+    p.add_argument("-s", "--sample", type=int, default=1, metavar="N", help="infer from the N-th line that is not indented")
+    p.add_argument("-o", "--output", metavar="FILE", help="write the inferred definition to a file")
     a = p.parse_args(argv)
     try:
         if a.list:
@@ -44,10 +47,17 @@ def main(argv: list[str] | None = None) -> int:
         if name is None or a.file == "-" and sys.stdin.isatty():
             raise LogError("a file is missing")
         spark = _session()
+        if name == "-" and not a.wizard:
+            for line in follow_stream(spark, sys.stdin, template, a.filter):
+                print(line, flush=True)
+            return 0
         lines = lines_from_iterable(spark, sys.stdin) if name == "-" else read_lines(spark, name)
         if a.wizard:
-            made, report = infer(lines, a.wizard)
-            print(made.to_lxt(), end="")
+            made, report = infer(lines, a.wizard, line=a.sample - 1)
+            if a.output:
+                write_template(spark, made, a.output)
+            else:
+                print(made.to_lxt(), end="")
             print(f"# matches {report.matched} of {report.total} sampled lines", file=sys.stderr)
             return 0
         for line in LogFrame(lines, template, a.filter).print_lines():

@@ -1,3 +1,4 @@
+import pytest
 import random
 import time
 
@@ -53,4 +54,36 @@ def test_tail_rotation_and_missing(spark, tmp_path):
     path.write_text("new\nmore")
     run(spark, path, tmp_path / "c", got, None, flush_tail=True)
     assert got[-1][:3] == (1, 2, "more") and len(got) == 4
-    time.sleep(0)
+
+
+def test_stream_in_bursts(spark):
+    import threading
+
+    from sparklog.plans.builtins import builtin
+    from sparklog.plans.template import FilterError
+    from sparklog.streaming.pipe import bursts, follow_stream
+
+    gate = threading.Event()
+
+    def chunks():
+        yield "2026-06-01 19:18:23,123 - a - ERROR - one\r\n  more\n2026-06-01 19:18:2"
+        assert gate.wait(60)
+        yield "4,123 - a - INFO - two\n  of two\n"
+        yield "2026-06-01 19:18:25,123 - a - ERROR - three\n  tail"
+
+    got = follow_stream(spark, chunks(), builtin("python"), "level == ERROR")
+    assert [next(got), next(got)] == ["2026-06-01 19:18:23,123 - a - ERROR - one", "  more"]  # before the end has come
+    gate.set()
+    assert list(got) == ["2026-06-01 19:18:25,123 - a - ERROR - three", "  tail"]
+    text = [f"x {i}\n" for i in range(25)]
+    assert [x for b in bursts(text, 4) for x in b] == [f"x {i}" for i in range(25)] and max(map(len, bursts(text, 4))) <= 4
+    assert list(follow_stream(spark, text, None, "line > 23", most=7)) == ["x 23", "x 24"] and list(bursts([])) == []
+    with pytest.raises(FilterError):
+        list(follow_stream(spark, ["x\n"], builtin("plain"), "level == 1"))
+
+    def broken():
+        yield "a\n"
+        raise OSError("gone")
+
+    with pytest.raises(OSError):
+        list(bursts(broken()))
