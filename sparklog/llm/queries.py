@@ -94,9 +94,12 @@ p AS (SELECT page_id, url, html, CASE WHEN instr(url,'://')>0 THEN substr(url, i
 u AS (SELECT page_id, url, html, translate(regexp_extract(rest,'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) AS path,
   CASE WHEN instr(url,'://')>0 THEN translate(split_part(url,'://',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') END AS scheme, regexp_extract(rest,'^[^/?#]*([^#]*)',1) AS tail FROM p),
 raw AS (SELECT page_id, scheme, host, unnest(list_concat(
-  list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*(?:["''][^"''>]*\bcanonical\b|canonical\b)')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
   list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1)))) AS t FROM u WHERE scheme IS NOT NULL),
-ft AS (SELECT u.scheme||'://'||u.host||u.tail AS a, CASE WHEN instr(t,'://')>0 THEN t WHEN t LIKE '//%' THEN u.scheme||':'||t WHEN t LIKE '/%' THEN u.scheme||'://'||u.host||t END AS t FROM raw JOIN u USING (page_id)),
+dec AS (SELECT page_id, replace(t, '&amp;', '&') AS t FROM raw),
+rel AS (SELECT page_id, t, CASE WHEN path='' THEN '/' ELSE path END AS own, regexp_replace(regexp_replace(CASE WHEN path='' THEN '/' ELSE path END, '[^/]*$', '')||regexp_extract(t,'^[^?#]*'), '(/\.{1,2})$', '\1/') AS j FROM dec JOIN u USING (page_id)),
+ft AS (SELECT u.scheme||'://'||u.host||u.tail AS a, CASE WHEN instr(t,'://')>0 THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN t LIKE '//%' THEN u.scheme||':'||t WHEN t LIKE '/%' THEN u.scheme||'://'||u.host||t
+  WHEN t LIKE '?%' THEN u.scheme||'://'||u.host||own||t WHEN t NOT LIKE '#%' THEN u.scheme||'://'||u.host||array_to_string(list_reduce(list_transform(string_split(j,'/'), lambda x: [x]), lambda a, x: CASE WHEN x[1]='..' THEN a[1:greatest(len(a)-1,1)] WHEN x[1]='.' THEN a ELSE list_concat(a, x) END),'/')||regexp_extract(t,'^[^?#]*(.*)',1) END AS t FROM rel JOIN u USING (page_id)),
 fr AS (SELECT a, t, substr(t, instr(t,'://')+3) AS rest FROM ft WHERE instr(t,'://')>0),
 e AS (SELECT a, translate(split_part(t,'://',1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')||'://'||translate(regexp_extract(rest,'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')||regexp_extract(rest,'^[^/?#]*([^#]*)',1) AS b FROM fr),
 s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),

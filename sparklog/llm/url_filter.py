@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, components
 
-#: Rules are driver-side configuration that goes into the plan; this many at most.
-MAX_RULES = 10_000
+#: So many rules go into the plan as a literal; more are a table that is joined.
+LITERAL_RULES = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -44,8 +44,6 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
     rules: (action, host, path), action allow or block. Of two rules of one length the
     allow wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     kind = "struct<len:int,act:int,rule:string,path:string>"
     if not rules:
         return F.lit(None).cast("struct<len:int,rule:string,action:string>")
@@ -62,16 +60,38 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.when(best.isNotNull(), F.struct(best["len"].alias("len"), best["rule"].alias("rule"), F.when(best["act"] == 1, "allow").otherwise("block").alias("action")))
 
 
+def with_rule(df: DataFrame, rules: list[tuple[str, str, str]], name: str, host: str, path: str) -> DataFrame:
+    """Adds best_rule() of the columns host and path, by a join where there are many rules."""
+    if len(rules) <= LITERAL_RULES:
+        return df.withColumn(name, best_rule(F.col(host), F.col(path), rules))
+    table = df.sparkSession.createDataFrame(rules, "_action string, _host string, _path string")
+    seen = df.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
+    parts = F.split("_h", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    fits = seen.withColumn("_host", F.explode(ends)).join(table, "_host").where(F.startswith("_p", "_path"))
+    row = F.struct(F.length(F.concat("_host", "_path")).alias("len"), (F.col("_action") == "allow").cast("int").alias("act"), F.concat("_host", "_path").alias("rule"), F.col("_action").alias("action"))
+    best = fits.groupBy("_h", "_p").agg(F.max(row).alias("_b"))
+    best = best.select("_h", "_p", F.struct("_b.len", "_b.rule", "_b.action").alias(name))
+    return df.drop(name).join(best, (F.col(host) == F.col("_h")) & (F.col(path) == F.col("_p")), "left").drop("_h", "_p")
+
+
 #: Where HTML names the canonical URL or redirects (tag, then its URL).
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:["'][^"'>]*\bcanonical\b|canonical\b))[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
 
 
+def _folded(path: Column) -> Column:
+    """A path without the segments . and .."""
+    steps = F.split(F.regexp_replace(path, r"(/\.{1,2})$", "$1/"), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.array_join(kept, "/")
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) node pairs from canonical links and meta refreshes of whole pages.
 
-    A target without a scheme is resolved against the page's scheme and host when it begins
-    with / or //; other relative targets and pages without a URL give no link."""
+    &amp; in a target is &. A target without a scheme is resolved against the page's URL;
+    targets of other schemes than those with :// and pages without a URL give no link."""
     text = F.col(html)
     low = F.lower(text)
     hits = F.concat(
@@ -80,8 +100,15 @@ def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     t, u = F.col("_t"), F.col(url)
     scheme = F.substring_index(u, "://", 1)
-    full = F.when(F.locate("://", t) > 0, t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t)).when(F.startswith(t, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(u), t))
-    return pages.where(u.isNotNull() & text.isNotNull()).select(u, F.explode(hits).alias("_t")).select(node_of(u).alias("src"), node_of(full).alias("dst")).where("src is not null and dst is not null")
+    site = F.concat(scheme, F.lit("://"), host_of(u))
+    own = F.when(path_of(u) == "", "/").otherwise(path_of(u))
+    beside = F.concat(_folded(F.concat(F.regexp_replace(own, "[^/]*$", ""), F.regexp_extract(t, r"^[^?#]*", 0))), F.regexp_extract(t, r"^[^?#]*(.*)", 1))
+    full = (
+        F.when(F.locate("://", t) > 0, t).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
+        .when(F.startswith(t, F.lit("/")), F.concat(site, t)).when(F.startswith(t, F.lit("?")), F.concat(site, own, t)).when(~F.startswith(t, F.lit("#")), F.concat(site, beside))
+    )
+    found = pages.where(u.isNotNull() & text.isNotNull()).select(u, F.explode(hits).alias("_t")).withColumn("_t", F.replace(F.col("_t"), F.lit("&amp;"), F.lit("&")))
+    return found.select(node_of(u).alias("src"), node_of(full).alias("dst")).where("src is not null and dst is not null")
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -92,17 +119,20 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame |
     judged alike. Columns of urls named like those added are replaced."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     out = urls.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    best = best_rule(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "_own": F.col("_best.action"), "_node": node_of(F.col(url))}).drop("_best")
+    out = with_rule(out, rules, "_best", "host", "path")
+    out = out.withColumns({"rule": F.col("_best.rule"), "_own": F.col("_best.action"), "_node": node_of(F.col(url))}).drop("_best")
     if links is None:
         decided = out.withColumn("_class", F.lit(None).cast("string"))
     else:
         member = components(links.select("src", "dst"))
-        own = best_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
-        class_of = member.select("node", "root", own.alias("act"))
+        placed = with_rule(member.withColumns({"_nh": host_of(F.col("node")), "_np": path_of(F.col("node"))}), rules, "_best", "_nh", "_np")
+        class_of = placed.select("node", "root", F.col("_best.action").alias("act"))
         said = class_of.groupBy("root").agg(F.max((F.col("act") == "allow").cast("int")).alias("a"), F.max((F.col("act") == "block").cast("int")).alias("b"))
         said = said.select("root", F.when(F.col("a") == 1, "allow").when(F.col("b") == 1, "block").alias("_class")).where("_class is not null")
         table = member.join(said, "root").select(F.col("node").alias("_node"), "_class")
-        decided = out.join(table, "_node", "left")
+        # Rows that are no nodes, and those that a rule decides, aren't dealt by the join.
+        asks = F.col("_node").isNotNull() & F.col("_own").isNull()
+        rest = out.where(~asks).withColumn("_class", F.lit(None).cast("string"))
+        decided = out.where(asks).join(table, "_node", "left").unionByName(rest)
     via = F.when(F.col("_own").isNotNull(), "rule").when(F.col("_class").isNotNull(), "alias").otherwise("default")
     return decided.withColumns({"verdict": F.coalesce("_own", "_class", F.lit("allow")), "via": via}).drop("_own", "_class", "_node")

@@ -40,7 +40,13 @@ def sf(spark, tmp_path_factory):
     extra = [F.lit(1).alias(k) for k in ("spans", "score", "words", "fp", "matches", "grp", "labels", "known", "places", "predicted")]
     spark.createDataFrame(DOCS, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *extra).write.parquet(f"{at}/documents.parquet")
     urls = ["http://A.Example.NET/en/1?x#y", "https://b.net/en/", "http://net/", "http://xnet/", "ftp://example.com/de/x", "http://shop.example.com:80/de/", "https://q.org/fr/2", "https://q.org", None, "nourl", "://", "http://alias.info/a", "http://hop.info/b", "http://keep.info/c", "http://free.info/d", "http://b.net/en/"]
+    # chains, cycles, classes of an allow and a block, targets beside the page, other schemes
+    urls += ["http://c0.info/x/p", "http://c1.info/y", "http://c2.info/z", "http://ring.info/1", "http://ring.info/2", "http://ring.info/3?a=1&b=2", "http://both.info/", "http://q.org/fr/9", "http://m.net/", "http://rel.info/a/b/c", "http://rel.info/a/d", "http://rel.info/a/b/c?v", "http://deep.info/s/"]
     html = {11: "<link rel=canonical href='http://Hop.info/b#f'>", 12: '<META content="0; URL=https://b.net/en/" http-equiv="refresh">', 13: '<link href="http://alias2.info/" rel="canonical">', 14: '<link rel="canonical" href="/d2"><link rel="canonical" href="https://q.org/fr/2">'}
+    html |= {16: "<link rel='nofollow canonical' href=http://c1.info/y>", 17: "<link href='http://c2.info/z' rel=canonical>", 18: "<link rel=canonical href='//shop.example.com/de/'>"}
+    html |= {19: '<link rel="canonical" href="/2">', 20: '<link rel="canonical" href="3?a=1&amp;b=2">', 21: '<link rel="canonical" href="http://ring.info/1">'}
+    html |= {22: '<link rel=canonical href="https://q.org/fr/9"><meta http-equiv=refresh content="0;url=http://m.net/">', 24: "<link rel=stylesheet href=canonical.css>"}
+    html |= {25: '<link rel="canonical" href="../d">', 26: '<link rel="canonical" href="http://x.net/1">', 27: '<link rel=canonical href="javascript:x"><link rel=canonical href="#top">', 28: '<link rel="canonical" href="./../../t/.">'}
     spark.createDataFrame([(i, u, html.get(i, "<p>") if i else None) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     r = random.Random(9)
     items = [" ".join(r.choice(VOC) + str(r.randrange(50)) for _ in range(n)) for n in (12, 20, 33, 58)] + [None, "", " .. "]
@@ -66,9 +72,22 @@ def test_op1(spark, sf):
             assert r.verdict == want[4]
     # 11 -> 12 -> b.net: blocked; 13: no rule in its class; 14 is an alias of an allowed page
     assert [(rows[i].verdict, rows[i].via) for i in (11, 12, 13, 14)] == [("block", "alias"), ("block", "alias"), ("allow", "default"), ("allow", "alias")]
+    # a chain ends at example.com/de; a cycle has no rule; an allow outranks the block beside it
+    assert [rows[i].verdict for i in (16, 17, 18)] == ["block"] * 3 and [rows[i].via for i in (19, 20, 21)] == ["default"] * 3
+    assert (rows[22].verdict, rows[22].via) == ("allow", "alias") and [rows[i].verdict for i in (25, 26, 27)] == ["block", "block", "allow"]
     assert len(rows) == len(pages)
 
 
+def test_op1_many_rules(spark, sf, monkeypatch):
+    from sparklog.llm import url_filter
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    judged = lambda: sorted(map(repr, url_filter.judge(pages, Q.RULES, url_filter.html_links(pages)).drop("html").collect()))
+    want = judged()
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 1)
+    assert [x.replace(" ", "") for x in judged()] == [x.replace(" ", "") for x in want]
+
+
 def test_op2(spark, sf):
     rows = Q.op2_license_scan(spark, sf).collect()
     assert {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows} == {B.op2(*x) for x in ROWS}
