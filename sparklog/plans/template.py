@@ -93,9 +93,6 @@ class Template:
             out.append(f"field {f.name}: {' '.join(attributes)}")
         return "\n".join(out) + "\n"
 
-    def segments_order(self) -> list[str]:
-        return [f.name for f in self.fields]
-
 
 def parse_color(text: str) -> int:
     """#RRGGBB, RRGGBB or #RGB (or RGB) as a number; -1 if it is none."""

@@ -17,7 +17,7 @@ from .operators.parse import evaluate, filter_entries, parse, parse_rows, segmen
 from .plans.builtins import all_builtins, builtin
 from .plans.template import Template
 from .plans.template import parse as parse_template
-from .sources.lines import lines_from_rows, lines_from_text, read_lines
+from .sources.lines import lines_from_rows, lines_from_text, read_lines, read_template, write_template
 from .sources.shared import shared_folder
 from .streaming.tail import follow, tail_lines
 
@@ -442,10 +442,10 @@ def conversation_search(spark, sf):
     return filter_entries(parse_rows(lines, t), t, "raw ~ 'THE '").select("conv_id", "turn", "lineno")
 
 
-@_register("text_functions", "SELECT doc_id, length(a) AS n_trimmed, instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') - 1 AS at, left(text, 31) AS short, regexp_replace(left(text, 40), '[\\x00-\\x1F]', ' ', 'g') AS masked FROM (SELECT *, regexp_replace(regexp_replace(text, '^[ \\t]+', ''), '[ \\t\\r\\n]+$', '') AS a FROM documents)")
+@_register("text_functions", "SELECT doc_id, length(a) AS n_trimmed, instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') - 1 AS at, left(text, 31) AS short, regexp_replace(text, '[\\x00-\\x1F]', ' ', 'g') AS masked FROM (SELECT *, regexp_replace(regexp_replace(text, '^[ \\t]+', ''), '[ \\t\\r\\n]+$', '') AS a FROM documents)")
 def text_functions(spark, sf):
     t = F.col("text")
-    cols = [F.length(fn.trim(t)).cast("long").alias("n_trimmed"), fn.find(t, "THE", fold=True).cast("long").alias("at"), fn.truncate(t, 31).alias("short"), fn.mask_control(fn.truncate(t, 40)).alias("masked")]
+    cols = [F.length(fn.trim(t)).cast("long").alias("n_trimmed"), fn.find(t, "THE", fold=True).cast("long").alias("at"), fn.truncate(t, 31).alias("short"), fn.mask_control(t).alias("masked")]
     return _table(spark, sf, "documents").select("doc_id", *cols)
 
 
@@ -499,3 +499,125 @@ def wrapped_values(spark, sf):
     """Values cut at 500 characters and wrapped at 40."""
     pieces = F.posexplode(fn.wrap(fn.truncate(F.col("text"), 500), 40)).alias("part", "piece")
     return _table(spark, sf, "documents").select("doc_id", pieces).withColumn("part", F.col("part") + 1).withColumn("piece", F.col("piece"))
+
+
+def _shaped(spark: SparkSession, sf: str, definition: str, line: str) -> DataFrame:
+    """Events rendered by a SQL expression and parsed by a definition."""
+    lines = lines_from_rows(_table(spark, sf, "events"), F.expr(line), F.expr("event_id + 1"))
+    return parse_rows(lines, parse_template(definition))
+
+
+@_register("ts_twelve_hours", "SELECT event_id + 1 AS lineno, true AS matched, epoch_us(date_trunc('second', ts)) AS us, 'user=' || user_id AS rest FROM events")
+def ts_twelve_hours(spark, sf):
+    """Two-digit years, hours of twelve, names of days and months, a literal per cent sign."""
+    t = 'name: t\nentry: %{when} 100%% %{rest}\nfield when: format="%a %d %b %y %I:%M:%S %p"\n'
+    rows = _shaped(spark, sf, t, "concat(date_format(ts, 'EEE dd MMM yy hh:mm:ss a'), ' 100% user=', user_id)")
+    return rows.select("lineno", "matched", F.round(F.col("n.when") * 1e6).cast("long").alias("us"), F.col("f.rest").alias("rest"))
+
+
+@_register("ts_day_of_year", "SELECT event_id + 1 AS lineno, true AS matched, epoch_us(date_trunc('minute', ts)) AS us FROM events")
+def ts_day_of_year(spark, sf):
+    t = 'name: t\nentry: <%{when}>\nfield when: format="%Y/%j %H:%M 100%%"\n'
+    rows = _shaped(spark, sf, t, "concat('<', date_format(ts, 'yyyy/DDD HH:mm'), ' 100%>')")
+    return rows.select("lineno", "matched", F.round(F.col("n.when") * 1e6).cast("long").alias("us"))
+
+
+@_register("duplicate_field", "SELECT event_id + 1 AS lineno, user_id % 2 = 0 AS matched, CASE WHEN user_id % 2 = 0 THEN event_type ELSE '' END AS a, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS b FROM events")
+def duplicate_field(spark, sf):
+    """A field that stands twice has its last text; a line must end where its pattern does."""
+    t = "name: t\nentry: %{a:word} %{b:int} %{a:word}\n"
+    rows = _shaped(spark, sf, t, "concat('x ', user_id, ' ', event_type, CASE WHEN user_id % 2 = 0 THEN ' \\t' ELSE ' more' END)")
+    return rows.select("lineno", "matched", F.col("f.a").alias("a"), F.col("f.b").alias("b"))
+
+
+@_register("default_layout", "SELECT event_id + 1 AS lineno, epoch_us(date_trunc('second', ts)) AS us, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 2 END AS severity FROM events")
+def default_layout(spark, sf):
+    """A timestamp without a layout has the default one; a field named pri is the severity."""
+    t = "name: t\ndescription: of defaults\nentry: %{at:timestamp} %{Pri} - %{text}\nfield Pri: type=word color=#5FAFD7\n"
+    template = parse_template(t)
+    severity = F.col("f")[template.fields[template.severity].name]
+    rows = _shaped(spark, sf, t, f"concat({T}, ' ', CASE event_type WHEN 'error' THEN 'Error' WHEN 'purchase' THEN 'WARN' ELSE 'info' END, ' - x')")
+    return rows.select("lineno", F.round(F.col("n.at") * 1e6).cast("long").alias("us"), fn.severity_class(severity).alias("severity"))
+
+
+@_register("long_literal", "SELECT event_id + 1 AS lineno, user_id % 2 = 0 AS matched FROM events")
+def long_literal(spark, sf):
+    """Literal text of more than 63 bytes."""
+    text = "a long literal, " * 6
+    rows = _shaped(spark, sf, f"name: t\nentry: {text}%{{n:int}}\n", f"concat('{text}', CASE WHEN user_id % 2 = 0 THEN '' ELSE 'x' END, user_id)")
+    return rows.select("lineno", "matched")
+
+
+@_register("filter_timestamp_text", _sql("SELECT lineno FROM e WHERE contains(t, ' 13:0') OR NOT contains(t, '2024')"))
+def filter_timestamp_text(spark, sf):
+    """A timestamp's text where the value is no timestamp."""
+    return _serilog(spark, sf, "timestamp ~ ' 13:0' or timestamp !~ 2024").rows().select("lineno")
+
+
+_BAD = ["timestamp == junk", "bogus == 1", "level ==", "level == ERR &&", "(level == ERR", "timestamp > junk", "line ~ 3", "level == ERR", "not (line < 3 || raw ~ 'x y')"]
+
+
+@_register("filter_errors", f"SELECT * FROM (VALUES {_values([(x.replace(chr(39), chr(34)), i >= 7) for i, x in enumerate(_BAD)])}) v(expression, compiles)")
+def filter_errors(spark, sf):
+    from .plans.filter_lang import compile_filter
+    from .plans.template import FilterError
+
+    def compiles(x: str) -> bool:
+        try:
+            compile_filter(x, builtin("serilog"))
+        except FilterError:
+            return False
+        return True
+
+    return spark.createDataFrame([(x.replace("'", '"'), compiles(x)) for x in _BAD], "expression string, compiles boolean")
+
+
+@_register("follow_pipe", _sql("SELECT lineno FROM e WHERE pylvl = 'ERROR' UNION ALL SELECT lineno FROM e WHERE pylvl = 'ERROR'"))
+def follow_pipe(spark, sf):
+    """Lines of a pipe, filtered burst by burst; an error's second line continues it."""
+    from .streaming.pipe import follow_stream
+
+    more = "CASE WHEN event_type = 'error' THEN concat('\n  line=', event_id + 1) ELSE '' END"
+    rows = _table(spark, sf, "events").orderBy("event_id").select(F.expr(f"concat({SHAPES['python']}, ' line=', event_id + 1, {more}, '\n')").alias("x"))
+    got = follow_stream(spark, (r.x for r in rows.toLocalIterator()), builtin("python"), "level == ERROR", most=4000)
+    return spark.createDataFrame([(int(x.rsplit("=", 1)[1]),) for x in got], "lineno long")
+
+
+@_register("template_file", "SELECT o_orderkey + 1 AS lineno, o_orderpriority AS priority FROM orders WHERE o_orderpriority LIKE '1%'")
+def template_file(spark, sf):
+    """A definition is written, read again and used."""
+    at = shared_folder(spark, "orders.lxt")
+    write_template(spark, parse_template(ORDERS), at)
+    frame = LogFrame(order_lines(spark, sf), read_template(spark, at), "priority ~ urgent", fields=[])
+    return frame.rows().select("lineno", F.col("f.priority").alias("priority"))
+
+
+@_register("style_fields", _sql("SELECT lineno, 'host' AS field, '256:74' AS style FROM e UNION ALL SELECT lineno, 'proc', '256:37' FROM e UNION ALL SELECT lineno, 'timestamp', '256:245' FROM e UNION ALL SELECT lineno, 'message', '' FROM e"))
+def style_fields(spark, sf):
+    """How the fields of a built-in template are drawn."""
+    t = builtin("syslog")
+    rows = LogFrame(event_lines(spark, sf, "syslog"), t).rows()
+    cells = [F.struct(F.lit(f.name).alias("field"), style(F.lit(""), F.col("cont"), False, f.color).alias("style")) for f in t.fields]
+    return rows.select("lineno", F.inline(F.array(*cells)))
+
+
+@_register("equal_fold", "SELECT event_id, upper(event_type) = 'ERROR' AS same FROM events")
+def equal_fold(spark, sf):
+    return _table(spark, sf, "events").select("event_id", fn.equal_ignoring_case(F.col("event_type"), F.lit("eRRor")).alias("same"))
+
+
+@_register("goto_files", f"WITH {_LINES} (SELECT path, lineno FROM l WHERE (path, lineno) >= ('3', 500) ORDER BY path, lineno LIMIT 1)")
+def goto_files(spark, sf):
+    """A position among several files."""
+    return LogFrame(error_lines(spark, sf), builtin("python")).goto(500, "3").select("path", "lineno")
+
+
+@_register("numbered_files", _sql("SELECT lineno + (SELECT count(*) FROM e x WHERE x.pylvl = 'ERROR' AND x.event_id < e.event_id) AS lineno, event_id FROM e"))
+def numbered_files(spark, sf):
+    """Line numbers of one file."""
+    at = shared_folder(spark, "lines")
+    more = "CASE WHEN event_type = 'error' THEN concat('\n  event ', event_id) ELSE '' END"
+    rows = _table(spark, sf, "events").coalesce(1).sortWithinPartitions("event_id")
+    rows.select(F.expr(f"concat({SHAPES['python']}, ' event=', event_id, {more})").alias("value")).write.text(at)
+    lines = read_lines(spark, at).where(~F.startswith("raw", F.lit("  ")))
+    return lines.select("lineno", F.regexp_extract("raw", r"event=([0-9]+)$", 1).cast("long").alias("event_id"))
