@@ -26,3 +26,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, in any store that Spark reads; None if it isn't there."""
+    where, store = _store(spark, path)
+    if not store.exists(where):
+        return None
+    stream = store.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file in the place of another, whole or not at all."""
+    where, store = _store(spark, path)
+    part = _store(spark, f"{path}.part")[0]
+    out = store.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(where, False)
+    store.rename(part, where)

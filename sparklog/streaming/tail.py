@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.parse import parse_rows
 from ..plans.filter_lang import compile_filter
 from ..plans.template import Template
+from ..sources.shared import read_text, write_text
 
 SCHEMA = "path string, generation int, lineno long, raw string"
 #: Bytes of one file that a batch takes at most (whole lines; a longer line is taken whole).
@@ -145,38 +146,31 @@ class Follower:
     def __init__(self, template: Template, expression: str | None, sink: Callable[[DataFrame, int], None], state_dir: str):
         self.template, self.sink, self.state_dir = template, sink, state_dir
         self.verdict = F.lit(True) if expression is None else compile_filter(expression, template)
-        os.makedirs(state_dir, exist_ok=True)
 
-    def _carried(self, batch: int) -> list[tuple]:
-        try:
-            with open(f"{self.state_dir}/{batch}.json") as f:
-                return [tuple(x) for x in json.load(f)]
-        except FileNotFoundError:
-            return []
+    def _carried(self, spark: SparkSession, batch: int) -> list[tuple]:
+        return [tuple(x) for x in json.loads(read_text(spark, f"{self.state_dir}/{batch}.json") or "[]")]
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
         spark = lines.sparkSession
-        before = self._carried(batch - 1)
+        before = self._carried(spark, batch - 1)
         carry = spark.createDataFrame(before, "path string, generation int, _entry long, _shown boolean")
         rows = parse_rows(lines, self.template).withColumn("_own", self.verdict)
         w = Window.partitionBy("path", "generation").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
         own = F.when(~F.col("cont"), F.struct(F.col("lineno").alias("e"), F.col("_own").alias("v")))
-        rows = rows.withColumn("_last", F.last(own, ignorenulls=True).over(w)).join(F.broadcast(carry), ["path", "generation"], "left")
+        rows = rows.withColumn("_last", F.last(own, ignorenulls=True).over(w)).join(carry, ["path", "generation"], "left")
         rows = rows.withColumns({"entry_id": F.coalesce("_last.e", "_entry"), "visible": F.coalesce("_last.v", "_shown", F.lit(False))}).drop("_last", "_entry", "_shown", "_own").persist()
         ends = rows.groupBy("path", "generation").agg(F.max_by(F.struct("entry_id", "visible"), "lineno").alias("s")).select("path", "generation", "s.*").collect()
         now = {(r[0], r[1]): r for r in before} | {(r.path, r.generation): (r.path, r.generation, r.entry_id, r.visible) for r in ends}
         newest = {p: g for p, g in sorted(now)}
         self.sink(rows, batch)
         rows.unpersist()
-        with open(f"{self.state_dir}/{batch}.part", "w") as f:
-            json.dump([v for (p, g), v in now.items() if newest[p] == g], f)
-        os.replace(f"{self.state_dir}/{batch}.part", f"{self.state_dir}/{batch}.json")
+        write_text(spark, f"{self.state_dir}/{batch}.json", json.dumps([v for (p, g), v in now.items() if newest[p] == g]))
 
 
 def follow(lines: DataFrame, template: Template, expression: str | None, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Starts a query that gives sink each batch's rows with entry_id and visible. once: only
     what is there now. The template is fixed beforehand; detect() it on the first lines."""
-    state = f"{checkpoint.removeprefix('file://')}/carry"
+    state = f"{checkpoint}/carry"
     writer = lines.writeStream.foreachBatch(Follower(template, expression, sink, state)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)
     return writer.start()
