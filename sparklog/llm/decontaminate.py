@@ -6,8 +6,9 @@ an item if some stretch of it is within an edit distance of floor(0.2 * words of
 Windows of an item's size are embedded by the CGK random walk: step by step the walk writes the
 word it stands on and then moves on or stays, by a random bit of (step, word). So edit distance
 becomes Hamming distance, and keys of a few sampled places of the walk collide for similar
-texts. Items of near lengths share windows of the shortest one's size; a longer item is looked
-for by its first words and by its last. For each size the numbers of walks and of sampled
+texts. An item of more than LONGEST words is looked for by parts of even length, as one of them
+has no greater share of edits than the item. Items (or parts) of near lengths share windows of
+the shortest one's size; a longer one is looked for by its first words and by its last. For each size the numbers of walks and of sampled
 places follow from a simulation: items with all the edits that they may have, spread or all in
 one half, must be found with probability RECALL. Every collision is verified by an exact
 alignment. Windows that hold too few of the benchmark's word pairs to be within the distance of
@@ -28,6 +29,8 @@ from .shared import memo, trim
 SIMILARITY, TABLES = 0.8, 16
 #: Items whose lengths differ by no more than this factor share windows of the least length.
 CLASS_FACTOR = 1.3
+#: Words that an item is looked for by as a whole.
+LONGEST = 160
 #: The simulated recall, at allowed edits; items simulated; walks and sampled places to choose
 #: from (the more places, the fewer windows collide by chance).
 RECALL, TRIALS, MOST_WALKS, SAMPLES = 0.99, 100, 16, (3, 2, 1)
@@ -73,10 +76,11 @@ class Walks:
         """Keys (window, table) of windows of n words from start, cut at stop."""
         end, at, last = np.minimum(start + n, stop), start.copy(), len(flat) - 1
         places = np.random.default_rng([3, n, walk]).integers(0, max(1, 9 * n // 4), (TABLES, sampled))
-        used = {}
+        asked, used = set(places.ravel().tolist()), {}
         for j in range(int(places.max()) + 1):
             w = np.where(at < end, flat[np.minimum(at, last)], self.words)
-            used[j] = w
+            if j in asked:
+                used[j] = w
             at = at + self.bit(walk, j)[w].astype(np.int64)
         out = np.zeros((len(start), TABLES), np.uint64)
         for t in range(TABLES):
@@ -138,8 +142,14 @@ class Index:
         v = len(self.vocabulary) + 1
         self.base = v
         self.words = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in parsed]
-        self.class_of: dict[int, int] = {}  # the window's words, by the item's words
-        for n in sorted({len(w) for w in self.words}):
+        # Parts of items: whose, from where, how many words.
+        parts = []
+        for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // LONGEST) + 1).astype(int).tolist()
+            parts += [(i, a, b - a) for a, b in zip(cuts, cuts[1:])]
+        part = np.array(parts, np.int64).reshape(-1, 3)
+        self.class_of: dict[int, int] = {}  # the window's words, by the part's words
+        for n in sorted(set(part[:, 2].tolist())):
             first = max(self.class_of.values(), default=0)
             self.class_of[n] = first if first and n <= CLASS_FACTOR * first else n
         self.lengths = sorted(set(self.class_of.values()))
@@ -158,18 +168,21 @@ class Index:
         flat = np.concatenate([*self.words, np.zeros(1, np.int64)]) if self.words else np.zeros(1, np.int64)
         size = np.array([len(w) for w in self.words], np.int64)
         start = np.cumsum(size) - size
-        window = np.array([self.class_of[n] for n in size.tolist()], np.int64)
+        owner, begin, n = part.T
+        window = np.array([self.class_of[x] for x in n.tolist()], np.int64)
+        self.step = np.maximum(8, size // 16)
         self.keys: dict[tuple[int, int], tuple] = {}  # by size and walk: keys, items, where the window begins in the item
         for c in self.lengths:
             mine = np.flatnonzero(window == c)
-            owner = np.concatenate([mine, mine[size[mine] > c]])
-            shift = np.concatenate([np.zeros(len(mine), np.int64), (size[mine] - c)[size[mine] > c]])
+            longer = mine[n[mine] > c]
+            whose = np.concatenate([owner[mine], owner[longer]])
+            shift = np.concatenate([begin[mine], begin[longer] + n[longer] - c])
             for walk in range(self.plans[c][0]):
-                k = self.walks.keys(flat, start[owner] + shift, c, (start + size)[owner], walk, self.plans[c][1]).ravel()
+                k = self.walks.keys(flat, start[whose] + shift, c, (start + size)[whose], walk, self.plans[c][1]).ravel()
                 order = np.argsort(k, kind="stable")
                 quick = np.zeros(1 << 18, bool)
                 quick[k >> np.uint64(46)] = True
-                self.keys[c, walk] = k[order], np.repeat(owner, TABLES)[order], np.repeat(shift, TABLES)[order], quick
+                self.keys[c, walk] = k[order], np.repeat(whose, TABLES)[order], np.repeat(shift, TABLES)[order], quick
 
     @staticmethod
     def _slot(pair: np.ndarray) -> np.ndarray:
@@ -213,8 +226,8 @@ class Index:
 
     def _collide(self, flat, start, n, begin, stop) -> np.ndarray:
         """(place, item) of windows of n words that share a key with an item, place being where
-        the item would begin, rounded down to eight words of its text: near windows are
-        verified together."""
+        the item would begin, rounded down to eight words of its text, or a sixteenth of a long
+        item: near windows are verified together."""
         out = []
         for walk in range(self.plans[n][0]):
             keys, owner, shift, quick = self.keys[n, walk]
@@ -226,7 +239,7 @@ class Index:
             place = start[np.repeat(some // TABLES, many)]
             first = begin[place]
             place = np.maximum(place - shift[at], first)
-            out.append(np.stack([place - (place - first) % 8, owner[at]], 1))
+            out.append(np.stack([place - (place - first) % self.step[owner[at]], owner[at]], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def _verify(self, flat, pairs, doc_of, begin, end) -> np.ndarray:
@@ -235,11 +248,12 @@ class Index:
         for m in np.unique(size[pairs[:, 1]]).tolist():
             group = pairs[size[pairs[:, 1]] == m]
             k = allowed(m)
-            for i in range(0, len(group), 4096):
-                place, item = group[i : i + 4096].T
+            some = max(1, min(4096, 2_000_000 // m))
+            for i in range(0, len(group), some):
+                place, item = group[i : i + some].T
                 doc = doc_of[place]
                 lo = np.maximum(place - k, begin[doc])
-                width = m + 2 * k + 8
+                width = m + 2 * k + max(8, m // 16)
                 cols = lo[:, None] + np.arange(width)
                 text = np.where(cols < end[doc][:, None], flat[np.minimum(cols, len(flat) - 1)], -1)
                 pattern = np.stack([self.words[x] for x in item.tolist()])
