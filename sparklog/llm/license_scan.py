@@ -98,14 +98,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, text: str = "text") ->
             _lit(notice).alias("notice"), _lit([idf[w] for w in notice]).alias("idf"),
         ))
     lookup = _lit(sorted(indexed))
-    df = docs.withColumn("_w", words_of(F.col(text))).withColumn("n_words", F.size("_w").cast("long"))
-    w = F.col("_w")
+    df = docs.withColumn("_sparklog_w", words_of(F.col(text))).withColumn("n_words", F.size("_sparklog_w").cast("long"))
+    w = F.col("_sparklog_w")
     hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(lookup, x), F.struct(x.alias("word"), i.alias("i")))), lambda h: h.isNotNull())
-    df = df.withColumn("_hit", F.when(F.arrays_overlap(w, lookup), hits).otherwise(F.array().cast("array<struct<word:string,i:int>>")))
+    df = df.withColumn("_sparklog_hit", F.when(F.arrays_overlap(w, lookup), hits).otherwise(F.array().cast("array<struct<word:string,i:int>>")))
 
     def begins(entry: Column) -> Column:
         """Where a template would begin by one of its index words."""
-        return F.transform(F.filter("_hit", lambda h: h["word"] == entry["word"]), lambda h: h["i"] - entry["pos"])
+        return F.transform(F.filter("_sparklog_hit", lambda h: h["word"] == entry["word"]), lambda h: h["i"] - entry["pos"])
 
     def place(first: Column, p: Column) -> Column:
         got = F.aggregate(F.sequence(F.lit(0), F.size(p["notice"]) - 1), F.lit(0.0), lambda s, j: s + F.when(F.get(w, first + j) == F.get(p["notice"], j), F.get(p["idf"], j)).otherwise(0.0))
@@ -117,9 +117,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, text: str = "text") ->
         stands = lambda first: (first + p["at"] >= 0) & (F.slice(w, F.greatest(first + p["at"], F.lit(0)) + 1, F.size(p["key"])) == p["key"])
         return F.transform(F.filter(agreed, stands), lambda first: place(first, p))
 
-    found = F.flatten(F.transform(F.filter(F.array(*rows), lambda p: F.exists("_hit", lambda h: h["word"] == F.get(p["index"], F.lit(0))["word"])), of_template))
+    found = F.flatten(F.transform(F.filter(F.array(*rows), lambda p: F.exists("_sparklog_hit", lambda h: h["word"] == F.get(p["index"], F.lit(0))["word"])), of_template))
     none = F.array().cast("array<struct<start:int,label:string,template:int,phrase:string,coverage:double>>")
-    df = df.withColumn("places", F.when(F.size("_hit") > 0, F.array_sort(found)).otherwise(none))
+    df = df.withColumn("places", F.when(F.size("_sparklog_hit") > 0, F.array_sort(found)).otherwise(none))
     pl = F.col("places")
     based = F.array_distinct(F.transform(F.filter(pl, lambda p: p["phrase"].isin(base)), lambda p: F.struct(p["start"].alias("start"), p["phrase"].alias("phrase"), p["label"].alias("label"))))
     df = df.withColumn("base_places", based)
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, text: str = "text") ->
     return df.withColumns({
         "base_labels": names(F.col("base_places")), "labels": names(pl),
         "score": F.coalesce(F.array_max(F.transform(pl, lambda p: p["coverage"])), F.lit(0.0)),
-    }).drop("_w", "_hit")
+    }).drop("_sparklog_w", "_sparklog_hit")
 
 
 def oracle(table: str = "documents", templates=TEMPLATES, base=BASE) -> str:

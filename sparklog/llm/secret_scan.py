@@ -123,26 +123,26 @@ def scan(docs: DataFrame, text: str = "text", classes=CLASSES, allow: str = ALLO
     Columns of docs named like those added are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
-    df = docs.withColumn("_t", t).withColumn("_low", F.lower("_t"))
+    df = docs.withColumn("_sparklog_t", t).withColumn("_sparklog_low", F.lower("_sparklog_t"))
     gate = {kind: F.lit(False) for kind, *_ in KINDS}
     for kind, needles in NEEDLES.items():
         for x in needles:
-            gate[kind] = gate[kind] | F.contains(F.col("_low"), F.lit(x))
-    gate["hex"] = F.col("_t").rlike(r"[0-9a-f]{16}")
-    gate["entropy"] = F.col("_t").rlike(CANDIDATE)
-    df = df.withColumns({f"_g_{k}": g for k, g in gate.items()})
+            gate[kind] = gate[kind] | F.contains(F.col("_sparklog_low"), F.lit(x))
+    gate["hex"] = F.col("_sparklog_t").rlike(r"[0-9a-f]{16}")
+    gate["entropy"] = F.col("_sparklog_t").rlike(CANDIDATE)
+    df = df.withColumns({f"_sparklog_g_{k}": g for k, g in gate.items()})
     cut = lambda rows: F.transform(rows, lambda r: F.struct(r["start"], r["rank"], r["kind"], r["end"]))
     got = {}
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         # Shorter hex runs only fail; the other kinds' failing matches also use up text.
         pattern = r"(?<![0-9a-f])[0-9a-f]{16,}+" if kind == "hex" else pattern
-        found = F.filter(_located(F.col("_t"), pattern, group, rank, kind), _longer(least))
-        got[kind] = F.when(F.col(f"_g_{kind}"), cut(found)).otherwise(none)
+        found = F.filter(_located(F.col("_sparklog_t"), pattern, group, rank, kind), _longer(least))
+        got[kind] = F.when(F.col(f"_sparklog_g_{kind}"), cut(found)).otherwise(none)
     df = df.withColumn("base_spans", F.array_sort(F.concat(*[got[k] for k, *_ in KINDS])))
     base = F.col("base_spans")
-    some = _located(F.col("_t"), CANDIDATE, 0, len(KINDS), "")
+    some = _located(F.col("_sparklog_t"), CANDIDATE, 0, len(KINDS), "")
     loose = _let(_blocks(base), lambda bl: F.filter(some, lambda r: ~r["match"].rlike(allow) & ~F.exists(bl, lambda b: _within(r, b) & F.exists(b["spans"], lambda x: _within(r, x)))))
-    df = df.withColumn("_loose", F.when(F.col("_g_entropy"), loose))
+    df = df.withColumn("_sparklog_loose", F.when(F.col("_sparklog_g_entropy"), loose))
 
     def classed(r: Column) -> Column:
         kind = F.lit(None).cast("string")
@@ -150,9 +150,9 @@ def scan(docs: DataFrame, text: str = "text", classes=CLASSES, allow: str = ALLO
             kind = F.when(r["match"].rlike(pattern), F.when(window_entropy(r["match"], width) >= bits, name)).otherwise(kind)
         return F.struct(r["start"].alias("start"), r["rank"].alias("rank"), kind.alias("kind"), r["end"].alias("end"))
 
-    more = F.filter(F.transform(F.col("_loose"), classed), lambda r: r["kind"].isNotNull())
-    df = df.withColumn("spans", F.when(F.size("_loose") > 0, F.array_sort(F.concat(base, more))).otherwise(base))
-    return df.drop("_t", "_low", "_loose", *[f"_g_{k}" for k in gate])
+    more = F.filter(F.transform(F.col("_sparklog_loose"), classed), lambda r: r["kind"].isNotNull())
+    df = df.withColumn("spans", F.when(F.size("_sparklog_loose") > 0, F.array_sort(F.concat(base, more))).otherwise(base))
+    return df.drop("_sparklog_t", "_sparklog_low", "_sparklog_loose", *[f"_sparklog_g_{k}" for k in gate])
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -65,14 +65,14 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]], name: str, host:
     if len(rules) <= LITERAL_RULES:
         return df.withColumn(name, best_rule(F.col(host), F.col(path), rules))
     table = df.sparkSession.createDataFrame(rules, "_action string, _host string, _path string")
-    seen = df.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
-    parts = F.split("_h", r"\.")
+    seen = df.select(F.col(host).alias("_sparklog_h"), F.col(path).alias("_sparklog_p")).distinct()
+    parts = F.split("_sparklog_h", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    fits = seen.withColumn("_host", F.explode(ends)).join(table, "_host").where(F.startswith("_p", "_path"))
+    fits = seen.withColumn("_host", F.explode(ends)).join(table, "_host").where(F.startswith("_sparklog_p", "_path"))
     row = F.struct(F.length(F.concat("_host", "_path")).alias("len"), (F.col("_action") == "allow").cast("int").alias("act"), F.concat("_host", "_path").alias("rule"), F.col("_action").alias("action"))
-    best = fits.groupBy("_h", "_p").agg(F.max(row).alias("_b"))
-    best = best.select("_h", "_p", F.struct("_b.len", "_b.rule", "_b.action").alias(name))
-    return df.drop(name).join(best, (F.col(host) == F.col("_h")) & (F.col(path) == F.col("_p")), "left").drop("_h", "_p")
+    best = fits.groupBy("_sparklog_h", "_sparklog_p").agg(F.max(row).alias("_b"))
+    best = best.select("_sparklog_h", "_sparklog_p", F.struct("_b.len", "_b.rule", "_b.action").alias(name))
+    return df.drop(name).join(best, (F.col(host) == F.col("_sparklog_h")) & (F.col(path) == F.col("_sparklog_p")), "left").drop("_sparklog_h", "_sparklog_p")
 
 
 #: Where HTML names the canonical URL or redirects (tag, then its URL).
@@ -119,20 +119,20 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame |
     judged alike. Columns of urls named like those added are replaced."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     out = urls.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    out = with_rule(out, rules, "_best", "host", "path")
-    out = out.withColumns({"rule": F.col("_best.rule"), "_own": F.col("_best.action"), "_node": node_of(F.col(url))}).drop("_best")
+    out = with_rule(out, rules, "_sparklog_best", "host", "path")
+    out = out.withColumns({"rule": F.col("_sparklog_best.rule"), "_sparklog_own": F.col("_sparklog_best.action"), "_sparklog_node": node_of(F.col(url))}).drop("_sparklog_best")
     if links is None:
-        decided = out.withColumn("_class", F.lit(None).cast("string"))
+        decided = out.withColumn("_sparklog_class", F.lit(None).cast("string"))
     else:
         member = components(links.select("src", "dst"))
-        placed = with_rule(member.withColumns({"_nh": host_of(F.col("node")), "_np": path_of(F.col("node"))}), rules, "_best", "_nh", "_np")
-        class_of = placed.select("node", "root", F.col("_best.action").alias("act"))
+        placed = with_rule(member.withColumns({"_sparklog_nh": host_of(F.col("node")), "_sparklog_np": path_of(F.col("node"))}), rules, "_sparklog_best", "_sparklog_nh", "_sparklog_np")
+        class_of = placed.select("node", "root", F.col("_sparklog_best.action").alias("act"))
         said = class_of.groupBy("root").agg(F.max((F.col("act") == "allow").cast("int")).alias("a"), F.max((F.col("act") == "block").cast("int")).alias("b"))
-        said = said.select("root", F.when(F.col("a") == 1, "allow").when(F.col("b") == 1, "block").alias("_class")).where("_class is not null")
-        table = member.join(said, "root").select(F.col("node").alias("_node"), "_class")
+        said = said.select("root", F.when(F.col("a") == 1, "allow").when(F.col("b") == 1, "block").alias("_sparklog_class")).where("_sparklog_class is not null")
+        table = member.join(said, "root").select(F.col("node").alias("_sparklog_node"), "_sparklog_class")
         # Rows that are no nodes, and those that a rule decides, aren't dealt by the join.
-        asks = F.col("_node").isNotNull() & F.col("_own").isNull()
-        rest = out.where(~asks).withColumn("_class", F.lit(None).cast("string"))
-        decided = out.where(asks).join(table, "_node", "left").unionByName(rest)
-    via = F.when(F.col("_own").isNotNull(), "rule").when(F.col("_class").isNotNull(), "alias").otherwise("default")
-    return decided.withColumns({"verdict": F.coalesce("_own", "_class", F.lit("allow")), "via": via}).drop("_own", "_class", "_node")
+        asks = F.col("_sparklog_node").isNotNull() & F.col("_sparklog_own").isNull()
+        rest = out.where(~asks).withColumn("_sparklog_class", F.lit(None).cast("string"))
+        decided = out.where(asks).join(table, "_sparklog_node", "left").unionByName(rest)
+    via = F.when(F.col("_sparklog_own").isNotNull(), "rule").when(F.col("_sparklog_class").isNotNull(), "alias").otherwise("default")
+    return decided.withColumns({"verdict": F.coalesce("_sparklog_own", "_sparklog_class", F.lit("allow")), "via": via}).drop("_sparklog_own", "_sparklog_class", "_sparklog_node")

@@ -37,7 +37,7 @@ ROWS = [(d, t or "") for d, t in DOCS]
 def sf(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
     # columns whose names clash with what operators add
-    extra = [F.lit(1).alias(k) for k in ("spans", "score", "words", "fp", "matches", "grp", "labels", "known", "places", "predicted")]
+    extra = [F.lit(1).alias(k) for k in ("spans", "score", "words", "fp", "matches", "grp", "labels", "known", "places", "predicted", "_w", "_t", "key", "slices", "place", "_run", "learn", "held_out")]
     spark.createDataFrame(DOCS, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *extra).write.parquet(f"{at}/documents.parquet")
     urls = ["http://A.Example.NET/en/1?x#y", "https://b.net/en/", "http://net/", "http://xnet/", "ftp://example.com/de/x", "http://shop.example.com:80/de/", "https://q.org/fr/2", "https://q.org", None, "nourl", "://", "http://alias.info/a", "http://hop.info/b", "http://keep.info/c", "http://free.info/d", "http://b.net/en/"]
     # chains, cycles, classes of an allow and a block, targets beside the page, other schemes
@@ -47,18 +47,19 @@ def sf(spark, tmp_path_factory):
     html |= {19: '<link rel="canonical" href="/2">', 20: '<link rel="canonical" href="3?a=1&amp;b=2">', 21: '<link rel="canonical" href="http://ring.info/1">'}
     html |= {22: '<link rel=canonical href="https://q.org/fr/9"><meta http-equiv=refresh content="0;url=http://m.net/">', 24: "<link rel=stylesheet href=canonical.css>"}
     html |= {25: '<link rel="canonical" href="../d">', 26: '<link rel="canonical" href="http://x.net/1">', 27: '<link rel=canonical href="javascript:x"><link rel=canonical href="#top">', 28: '<link rel="canonical" href="./../../t/.">'}
-    spark.createDataFrame([(i, u, html.get(i, "<p>") if i else None) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    more = lambda df, *names: df.withColumns({k: F.lit("clash") for k in names}).write
+    more(spark.createDataFrame([(i, u, html.get(i, "<p>") if i else None) for i, u in enumerate(urls)], "page_id long, url string, html string"), "host", "path", "rule", "verdict", "via", "src", "dst", "node", "_t", "_node", "_class", "root", "_h", "_host").parquet(f"{at}/pages.parquet")
     r = random.Random(9)
     items = [" ".join(r.choice(VOC) + str(r.randrange(50)) for _ in range(n)) for n in (12, 20, 33, 58)] + [None, "", " .. "]
-    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    more(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "matches", "m", "words", "distance").parquet(f"{at}/benchmark.parquet")
     labels = [(d, None if d == 7 else int(len(t) > 40), 0) for d, t in ROWS if d % 3] + [(None, 1, 0), (9999, 0, 0)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    more(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "text", "s", "score", "x").parquet(f"{at}/labels.parquet")
     base = np.random.default_rng(3).standard_normal((30, 16))
     vectors = [(i, v.tolist(), i % 2) for i, v in enumerate(base)]
     for k in range(40):
         vectors.append((100 + k, (base[k % 5] + 0.02 * np.random.default_rng(k).standard_normal(16)).tolist(), (k % 5) % 2))
     vectors += [(200 + k, vectors[1][1], 1) for k in range(9)] + [(300, vectors[1][1], 0), (301, vectors[1][1], None), (302, None, 1), (303, [0.0] * 16, 1), (304, [float("nan")] * 16, 1), (305, [None] + [1.0] * 15, 1), (306, [], 1), (307, [1.0, 2.0], 1), (308, [2.0, 4.0], 1), (309, [float("inf")] + [0.0] * 15, 1)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    more(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"), "n", "h", "ok", "rep", "mult", "dim", "kept", "component_id").parquet(f"{at}/embeddings.parquet")
     return at
 
 
