@@ -69,9 +69,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _emit(batches):
+def _numbers(parts, kind: str, each: int) -> np.ndarray:
+    """The rows of numbers, `each` in a row, that were packed in four or eight bytes a number."""
+    raw = b"".join(parts)
+    size = len(parts.iloc[0]) // each
+    return np.frombuffer(raw, f"<{kind}{size}").reshape(-1, each).astype(f"<{kind}8")
+
+
+def _emit(batches, single: bool):
     """A row for each filter of each vector. n: vectors of its label and length; labels of about
-    as many share their filters."""
+    as many share their filters. single: four bytes hold each component."""
     made: dict[tuple[int, int], CapFilters] = {}
     for pdf in batches:
         pdf = pdf.assign(power=np.ceil(np.log2(pdf["n"])).astype(int))
@@ -83,8 +90,10 @@ def _emit(batches):
                 row, code = caps.decode(_unit(x[i : i + 1000]))
                 ends = np.searchsorted(row, np.arange(len(x[i : i + 1000]) + 1))
                 some = part.iloc[i + row]
-                lists = [np.sort(code[a:b]).astype("<i8").tobytes() for a, b in zip(ends, ends[1:])]
-                yield pd.DataFrame({"label": label, "dim": dim, "filter": code, "rep": some["rep"].to_numpy(), "mult": some["mult"].to_numpy(), "x": [x[i + r].tobytes() for r in row.tolist()], "all": [lists[r] for r in row.tolist()]})
+                packed = [v.tobytes() for v in x[i : i + 1000].astype("<f4" if single else "<f8")]
+                width = "<i4" if caps.size**caps.blocks < 1 << 31 else "<i8"
+                lists = [np.sort(code[a:b]).astype(width).tobytes() for a, b in zip(ends, ends[1:])]
+                yield pd.DataFrame({"label": label, "dim": dim, "filter": code, "rep": some["rep"].to_numpy(), "mult": some["mult"].to_numpy(), "x": [packed[r] for r in row.tolist()], "all": [lists[r] for r in row.tolist()]})
 
 
 def _shared_before(own: list[np.ndarray], other: list[np.ndarray], code: int) -> np.ndarray:
@@ -108,7 +117,7 @@ def _shared_before(own: list[np.ndarray], other: list[np.ndarray], code: int) ->
 def _verify(group: pd.DataFrame, least: float) -> list[tuple[int, int, int]]:
     """Rows (rep, links counted here, smallest rep of its part of the bucket)."""
     code, dim = int(group["filter"].iloc[0]), int(group["dim"].iloc[0])
-    x = np.frombuffer(b"".join(group["x"]), "<f8").reshape(-1, dim)
+    x = _numbers(group["x"], "f", dim)
     norm = np.linalg.norm(x, axis=1)
     rep, mult = group["rep"].to_numpy(), group["mult"].to_numpy()
     near = (x @ x.T) / np.outer(norm, norm) >= least
@@ -120,7 +129,7 @@ def _verify(group: pd.DataFrame, least: float) -> list[tuple[int, int, int]]:
     if not len(linked):
         return []
     near, rep, mult = near[np.ix_(linked, linked)], rep[linked], mult[linked]
-    lists = [np.frombuffer(group["all"].iloc[i], "<i8") for i in linked.tolist()]
+    lists = list(_numbers(group["all"].iloc[linked], "i", FILTERS))
     counted = (near & ~_shared_before(lists, lists, code)) @ mult
     root = rep.copy()
     while True:
@@ -148,13 +157,13 @@ def _small(rows: pd.DataFrame, begin: np.ndarray, size: np.ndarray, least: float
         for width in np.unique(dim).tolist():
             x, y = a[dim == width], b[dim == width]
             used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            v = np.frombuffer(b"".join(rows["x"].iloc[used]), "<f8").reshape(-1, width)
+            v = _numbers(rows["x"].iloc[used], "f", width)
             at = at.reshape(2, -1)
             norm = np.linalg.norm(v, axis=1)
             near = np.einsum("ij,ij->i", v[at[0]], v[at[1]]) / (norm[at[0]] * norm[at[1]]) >= least
             x, y = x[near], y[near]
             rep, mult, code = rows["rep"].to_numpy(), rows["mult"].to_numpy(), rows["filter"].to_numpy()
-            own = {r: np.frombuffer(rows["all"].iloc[r], "<i8") for r in np.unique(np.concatenate([x, y])).tolist()}
+            own = {r: _numbers(rows["all"].iloc[r : r + 1], "i", FILTERS)[0] for r in np.unique(np.concatenate([x, y])).tolist()}
             new = np.array([not len(np.intersect1d(own[p][own[p] < code[p]], own[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())], bool)
             low = np.minimum(rep[x], rep[y])
             out += [np.stack([rep[x], mult[y] * new, low], 1), np.stack([rep[y], mult[x] * new, low], 1)]
@@ -205,7 +214,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     reps = staged(src.where("ok").groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding")), "caps")
 
     sized = reps.join(reps.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"])
-    rows = staged(sized.mapInPandas(_emit, "label long, dim int, filter long, rep long, mult long, x binary, all binary"), "caps")
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    rows = staged(sized.mapInPandas(lambda it: _emit(it, single), "label long, dim int, filter long, rep long, mult long, x binary, all binary"), "caps")
     key = ["label", "dim", "filter"]
     big = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > 2 * CHUNK)
     big = staged(big.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).drop("size"), "caps")
