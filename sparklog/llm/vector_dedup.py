@@ -154,16 +154,20 @@ def _small(rows: pd.DataFrame, begin: np.ndarray, size: np.ndarray, least: float
         a = first[i[k]] + member[k]
         b = a + 1 + step
         dim = rows["dim"].to_numpy()[a]
-        for width in np.unique(dim).tolist():
-            x, y = a[dim == width], b[dim == width]
+        for length in np.unique(dim).tolist():
+            x, y = a[dim == length], b[dim == length]
             used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            v = _numbers(rows["x"].iloc[used], "f", width)
+            v = _numbers(rows["x"].iloc[used], "f", length)
             at = at.reshape(2, -1)
             norm = np.linalg.norm(v, axis=1)
             near = np.einsum("ij,ij->i", v[at[0]], v[at[1]]) / (norm[at[0]] * norm[at[1]]) >= least
             x, y = x[near], y[near]
             rep, mult, code = rows["rep"].to_numpy(), rows["mult"].to_numpy(), rows["filter"].to_numpy()
-            own = {r: _numbers(rows["all"].iloc[r : r + 1], "i", FILTERS)[0] for r in np.unique(np.concatenate([x, y])).tolist()}
+            own, some = {}, np.unique(np.concatenate([x, y]))
+            width = rows["all"].iloc[some].str.len().to_numpy()
+            for size in np.unique(width).tolist():
+                mine = some[width == size]
+                own |= dict(zip(mine.tolist(), _numbers(rows["all"].iloc[mine], "i", FILTERS)))
             new = np.array([not len(np.intersect1d(own[p][own[p] < code[p]], own[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())], bool)
             low = np.minimum(rep[x], rep[y])
             out += [np.stack([rep[x], mult[y] * new, low], 1), np.stack([rep[y], mult[x] * new, low], 1)]
