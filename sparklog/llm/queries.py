@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, hpyp, license_scan, packing, quality, secret_scan, simhash, token_output, url_filter, vector_dedup
-from .shared import doc_hash, modest_batches, shared_dir
+from .shared import doc_hash, modest_batches, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ids")
     token_output.write(_table(spark, sf_dir, "documents"), path, tokenizer(), 2)
     return token_output.digest(spark, path)
 

@@ -63,6 +63,14 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p, fs = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 #: Shuffle files of a write go when it is done.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -82,11 +90,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executors and gives the optimizer real sizes. Its shuffle files go at once. Removed when
     the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     with _set(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    p, fs = _fs(spark, path)
-    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
