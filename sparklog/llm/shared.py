@@ -64,11 +64,12 @@ def _fs(spark: SparkSession, path: str):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p, fs = _fs(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    """A new path in a new folder of the shared one, which goes when the session's JVM ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p, fs = _fs(spark, folder)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # only what is there can be marked
+    return f"{folder}/data"
 
 
 #: Shuffle files of a write go when it is done.
@@ -90,9 +91,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executors and gives the optimizer real sizes. Its shuffle files go at once. Removed when
     the session's JVM ends."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _set(spark, _CLEANUP, "true"):
         df.write.parquet(path)
+    p, fs = _fs(spark, path)
+    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
