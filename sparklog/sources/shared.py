@@ -22,10 +22,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = _local()
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    folder = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where, store = _store(spark, folder)
+    store.mkdirs(where)
+    store.deleteOnExit(where)  # only what is there can be marked
+    return f"{folder}/data"
 
 
 def _store(spark: SparkSession, path: str):
