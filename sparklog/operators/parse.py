@@ -52,15 +52,16 @@ def _carried(ends: DataFrame) -> DataFrame:
     return ends.withColumn("carry", F.last("own", ignorenulls=True).over(before)).drop("own")
 
 
-def _split(rows: DataFrame, template: Template, own: Column, blocks: bool) -> DataFrame:
+def _split(rows: DataFrame, own: Column, blocks: bool, slim: DataFrame) -> DataFrame:
     """Adds _own, the value of own of the entry that a row is or continues, to rows in any order.
+    slim: the same rows with the fields that own needs.
 
     Rows that are no continuation have their own. Only narrow rows, and the continuations' raw
     lines, are shuffled: to a window in each file block."""
     heads = rows.where(~F.col("cont")).withColumn("_own", own)
     fixed = ("path", "block", "lineno", "matched", "cont", "f", "n")
     rest = [c for c in rows.columns if c not in fixed]
-    narrow = rows.select("path", "block", "lineno", F.when(F.col("cont"), F.struct(*rest)).alias("_row"), F.when(~F.col("cont"), own).alias("_own"))
+    narrow = slim.select("path", "block", "lineno", F.when(F.col("cont"), F.struct(*rest)).alias("_row"), F.when(~F.col("cont"), own).alias("_own"))
     in_block = Window.partitionBy("path", "block").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
     more = narrow.withColumn("_own", F.last("_own", ignorenulls=True).over(in_block)).where("_row is not null")
     if blocks:
@@ -152,7 +153,8 @@ def mark(lines: DataFrame, template: Template, expression: str | None = None, bl
         fields = [*fields, *fields_of(expression, template)]
     if (scan := scan_of(lines)) is not None:
         return _in_order(scan, template, expression, fields)
-    return visible(parse_rows(lines, template, fields), template, expression, blocks, True)
+    used = [] if expression is None else fields_of(expression, template)
+    return visible(parse_rows(lines, template, fields), template, expression, blocks, True, parse_rows(lines, template, used))
 
 
 def attach(rows: DataFrame, template: Template, blocks: bool = True) -> DataFrame:
@@ -165,9 +167,10 @@ def parse(lines: DataFrame, template: Template, blocks: bool = True, fields: lis
     return mark(lines, template, None, blocks, fields).drop("visible")
 
 
-def visible(rows: DataFrame, template: Template, expression: str | None, blocks: bool = True, ids: bool = False) -> DataFrame:
+def visible(rows: DataFrame, template: Template, expression: str | None, blocks: bool = True, ids: bool = False, slim: DataFrame | None = None) -> DataFrame:
     """Adds visible, a row's verdict, to parsed rows; with ids also entry_id. Rows that have
-    entry_id already look up their entry's verdict."""
+    entry_id already look up their entry's verdict. slim: the same rows, parsed for no more
+    fields than the filter looks at."""
     if expression is None and not ids:
         return rows.withColumn("visible", F.lit(True))
     verdict = F.lit(True) if expression is None else compile_filter(expression, template)
@@ -179,7 +182,7 @@ def visible(rows: DataFrame, template: Template, expression: str | None, blocks:
         found = heads.select("path", "entry_id", "visible")
         more = rows.where("cont").join(found, ["path", "entry_id"], "left").select(*rows.columns, F.coalesce("visible", F.lit(False)).alias("visible"))
         return heads.unionByName(more)
-    out = _split(rows, template, F.struct(F.col("lineno").alias("e"), verdict.alias("v")), blocks)
+    out = _split(rows, F.struct(F.col("lineno").alias("e"), verdict.alias("v")), blocks, rows if slim is None else slim)
     out = out.withColumn("visible", F.coalesce("_own.v", F.lit(False)))
     return (out.withColumn("entry_id", F.col("_own.e")) if ids else out).drop("_own")
 
