@@ -84,8 +84,9 @@ def test_added_spans(spark):
     assert sum("entropy" in x for x in got.values()) > 30
 
 
-def test_bradley_terry_is_at_its_minimum():
+def test_bradley_terry_is_at_its_minimum(monkeypatch):
     """The weights are where the penalised logistic loss of the preferences is least."""
+    monkeypatch.setattr(quality, "PAIRS", 4000)
     r = np.random.default_rng(3)
     x = r.standard_normal((400, len(quality.FEATURES)))
     good = x[:, 0] + 0.5 * x[:, 3] + r.standard_normal(400) > 0
