@@ -13,12 +13,14 @@ import glob
 import json
 import os
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.parse import parse_rows
 from ..plans.filter_lang import compile_filter
@@ -43,8 +45,9 @@ class Slice(InputPartition):
     generation: int
 
 
-def _complete(path: str, begin: int, size: int, most: int, flush: bool) -> tuple[int, int]:
-    """(end, lines) of the whole lines from begin on, in about `most` bytes."""
+def _complete(path: str, begin: int, size: int, most: int, flush: bool) -> tuple[int, int, bool]:
+    """(end, lines) of the whole lines from begin on, in about `most` bytes, and whether that
+    limit left bytes unread."""
     at, lines, end = begin, 0, begin
     with open(path, "rb") as f:
         f.seek(begin)
@@ -59,7 +62,7 @@ def _complete(path: str, begin: int, size: int, most: int, flush: bool) -> tuple
             at += len(data)
     if flush and at >= size > end:
         lines, end = lines + 1, size
-    return end, lines
+    return end, lines, end > begin and at < size
 
 
 class _Reader(DataSourceStreamReader):
@@ -73,19 +76,21 @@ class _Reader(DataSourceStreamReader):
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        files = {k: list(v) for k, v in (self.files or {}).items()}
+        files, left = {k: list(v) for k, v in (self.files or {}).items()}, {}
         for path in sorted({p for pattern in self.patterns for p in glob.glob(pattern)}):
             generation, done, lines = files.get(path, [0, 0, 0])
             try:
                 size = os.path.getsize(path)
                 if size < done:
                     generation, done, lines = generation + 1, 0, 0
-                end, more = _complete(path, done, size, self.most, self.flush)
+                end, more, cut = _complete(path, done, size, self.most, self.flush)
             except OSError:
                 continue
             files[path] = [generation, end, lines + more]
+            if cut:
+                left[path] = size
         self.files = files
-        return {"files": files}
+        return {"files": files} | ({"left": left} if left else {})
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if self.files is None:  # restarted: go on from the offset that is on record
@@ -169,8 +174,24 @@ class Follower:
 
 def follow(lines: DataFrame, template: Template, expression: str | None, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Starts a query that gives sink each batch's rows with entry_id and visible. once: only
-    what is there now. The template is fixed beforehand; detect() it on the first lines."""
+    what is there now, all of it; the query that is returned has ended then. The template is
+    fixed beforehand; detect() it on the first lines."""
     state = f"{checkpoint}/carry"
     writer = lines.writeStream.foreachBatch(Follower(template, expression, sink, state)).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)
-    return writer.start()
+    return _until_read(writer.trigger(availableNow=True)) if once else writer.trigger(processingTime=INTERVAL).start()
+
+
+def _until_read(writer: DataStreamWriter) -> StreamingQuery:
+    """Spark asks such a source for its end once a query, and that is one batch: queries follow
+    each other until every file is read up to the size that the first one saw."""
+    goal = None
+    while True:
+        query = writer.start()
+        with suppress(StreamingQueryException):  # the caller asks for it
+            query.awaitTermination()
+        progress = None if query.exception() else query.lastProgress
+        end = json.loads(progress.json)["sources"][0]["endOffset"] if progress else None
+        left = end.get("left", {}) if isinstance(end, dict) else {}
+        goal = left if goal is None else goal
+        if not any(end["files"][path][1] < goal.get(path, 0) for path in left):
+            return query

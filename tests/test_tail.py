@@ -40,6 +40,24 @@ def test_growth_equals_batch(spark, tmp_path):
     assert {n for _, n, _, _, v in got if v} == shown
 
 
+def test_once_reads_all_in_batches(spark, tmp_path):
+    big, small, got, sizes = tmp_path / "a.log", tmp_path / "b.log", [], []
+    big.write_text("".join(f"2026-01-01 00:00:00,000 - app - {'ERROR' if i % 3 == 0 else 'INFO'} - m{i}\n  trace {i}\n" for i in range(6000)) + "held")
+    small.write_text("one\n")
+
+    def sink(rows, batch):
+        part = [(r.path, r.lineno, r.visible) for r in rows.collect()]
+        sizes.append(len(part))
+        got.extend(part)
+        with big.open("a") as f:  # grows while it is read: what comes later isn't waited for
+            f.write("x" * 200_000)
+
+    lines = tail_lines(spark, f"{tmp_path}/*.log", batch_bytes=100_000)
+    follow(lines, builtin("python"), "level == ERROR", sink, str(tmp_path / "c"), once=True).awaitTermination(120)
+    assert sorted(got) == [(str(big), n, (n - 1) // 2 % 3 == 0) for n in range(1, 12001)] + [(str(small), 1, False)]
+    assert 3 < len(sizes) < 9 and max(sizes) < 6000  # of 12,001
+
+
 def test_tail_rotation_and_missing(spark, tmp_path):
     path, got = tmp_path / "a.log", []
     path.write_bytes(b"one\r\ntwo\nthr")
