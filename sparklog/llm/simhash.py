@@ -11,6 +11,7 @@ are split by a hash of the variant.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,6 +27,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 #: groups at least.
 TASK_VARIANTS, GROUP_VARIANTS, LEAST_GROUPS = 1_000_000, 150_000_000, 32
 MAX_PREFIX = 16
+#: Rows that are dealt at a time for each fingerprint of a table, all tables together.
+ROUND_COPIES = 40
 #: Bits besides the fingerprint that screen a pair, as longs, and the most that may differ. Large
 #: sets of similarity 0.8 differ in 38 of 256 on average, with a deviation of 6, and in 60 as good
 #: as never. What is within SAME of another stands with it: it differs in 60 from nothing that
@@ -211,6 +214,13 @@ def _compare(fps, ids, group, check, left, low: int, radius: int, parts: int, pa
     return np.unique(pair[:, ::-1], axis=0)
 
 
+def _rounds(tables: list[int], copies: int) -> list[tuple[list[int], int, int]]:
+    """(tables, slice, slices): tables, or slices of one's prefixes, that are dealt at a time,
+    where each fingerprint of a table goes to so many prefixes."""
+    some, slices = max(1, ROUND_COPIES // copies), -(-copies // ROUND_COPIES)
+    return [(tables[i : i + some], s, slices) for i in range(0, len(tables), some) for s in range(slices)]
+
+
 def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between ids of (table, fp, id, group, *CHECKS), all longs, within each table: of any
     two fingerprints of `width` bits at most radius bits apart, both are joined by links of each
@@ -237,10 +247,25 @@ def ball_links(rows: DataFrame, width: int = 64, radius: int = RADIUS) -> DataFr
         place = F.shiftleft(F.col("table"), bits) + F.col("prefix")
         parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in many.items() for x in (k, v)]), place), parts)
     to = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(half - k).alias("left")) for m, k in masks]))
-    dealt = rows.select("table", "fp", "id", "group", *CHECKS, own.alias("own"), to.alias("to")).select("table", "fp", "id", "group", *CHECKS, F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
-    dealt = dealt.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = dealt.groupBy("table", "prefix", "part").applyInPandas(lambda pdf: _bucket_links(pdf, low, half), "a long, b long")
-    return found.distinct()
+
+    def found(tables: list[int], one: int, slices: int) -> DataFrame:
+        dealt = rows.where(F.col("table").isin(tables)).select("table", "fp", "id", "group", *CHECKS, own.alias("own"), to.alias("to"))
+        dealt = dealt.select("table", "fp", "id", "group", *CHECKS, F.col("own").bitwiseXOR(F.col("to.m")).alias("prefix"), "to.left")
+        if slices > 1:
+            dealt = dealt.where(F.pmod("prefix", F.lit(slices)) == one)
+        dealt = dealt.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return dealt.groupBy("table", "prefix", "part").applyInPandas(lambda pdf: _bucket_links(pdf, low, half), "a long, b long").distinct()
+
+    # More prefixes mean more rows for a fingerprint: these are shuffled round by round, and
+    # a round's shuffle files go when it is staged.
+    rounds = _rounds(sorted(seen) or [0], len(masks))
+    if len(rounds) == 1:
+        return found(*rounds[0])
+    each = [staged(found(*r), "simhash") for r in rounds]
+    out = staged(reduce(DataFrame.unionByName, each).distinct(), "simhash")
+    for old in each:
+        drop_staged(old)
+    return out
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -161,3 +161,28 @@ def test_long_texts(spark, tmp_path):
         assert got["op6_simhash"][d].fingerprint == f"{B.op6_print(t):016x}"
         assert got["op10_lm_score"][d].n_tokens == len(B.low(t).split()) + 1
     assert {tuple(x) for x in got["op3_token_output"].values()} == B.op3([(d, t or "") for d, t in rows])
+
+
+def test_ball_links_in_rounds(spark, monkeypatch):
+    """Many prefixes are dealt round by round, with the same components."""
+    from sparklog.llm import simhash
+    from sparklog.llm.shared import components
+
+    r = random.Random(4)
+    rows = []
+    for k in range(120):
+        fps = [r.getrandbits(40) for _ in range(simhash.TABLES)]
+        rows += [(t, fp, 2 * k, 2 * k) for t, fp in enumerate(fps)]
+        rows += [(t, fp ^ sum(1 << i for i in r.sample(range(40), 4 if t == k % 16 else 12)), 2 * k + 1, 2 * k + 1) for t, fp in enumerate(fps)]
+    df = spark.createDataFrame(rows, "table long, fp long, id long, group long").withColumns({c: F.lit(0).cast("long") for c in simhash.CHECKS})
+    monkeypatch.setattr(simhash, "GROUP_VARIANTS", 240 * simhash.ball(40, 2) / 20)  # 32 prefixes, 16 rows a fingerprint
+    dealt = []
+    staged = simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda frame, name: dealt.append(frame) or staged(frame, name))
+    got = {x.node: x.root for x in components(simhash.ball_links(df, 40, 4)).collect()}
+    assert got == {2 * k + i: 2 * k for k in range(120) for i in (0, 1)}
+    assert len(dealt) == 9  # two of 16 tables a round, and all rounds' links
+    for copies in (2, 16, 29, 137):
+        rounds = simhash._rounds(list(range(16)), copies)
+        assert all(len(t) * copies / n <= simhash.ROUND_COPIES for t, _, n in rounds)
+        assert sorted((t, s) for some, s, _ in rounds for t in some) == [(t, s) for t in range(16) for s in range(rounds[0][2])]
