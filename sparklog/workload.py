@@ -4,7 +4,11 @@ filtered and looked at. The SQL computes the answers from the typed columns."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -578,9 +582,18 @@ def follow_pipe(spark, sf):
     from .streaming.pipe import follow_stream
 
     more = "CASE WHEN event_type = 'error' THEN concat('\n  line=', event_id + 1) ELSE '' END"
-    rows = _table(spark, sf, "events").orderBy("event_id").select(F.expr(f"concat({SHAPES['python']}, ' line=', event_id + 1, {more}, '\n')").alias("x"))
-    got = follow_stream(spark, (r.x for r in rows.toLocalIterator()), builtin("python"), "level == ERROR", most=4000)
-    return spark.createDataFrame([(int(x.rsplit("=", 1)[1]),) for x in got], "lineno long")
+    line = F.expr(f"concat({SHAPES['python']}, ' line=', event_id + 1, {more}, '\n')").alias("x")
+    events = _table(spark, sf, "events")
+    parts = max(1, -(-events.count() // 100_000))
+    rows = events.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").select(line)
+    chunks = rows.mapInPandas(lambda batches: (pd.DataFrame({"x": ["".join(b["x"])]}) for b in batches if len(b)), "x string")
+    got = follow_stream(spark, (r.x for r in chunks.toLocalIterator(prefetchPartitions=True)), builtin("python"), "level == ERROR", most=4000)
+    numbers, at = (int(x.rsplit("=", 1)[1]) for x in got), shared_folder(spark, "piped")
+    some = np.fromiter(islice(numbers, 1 << 20), np.int64)
+    while True:
+        spark.createDataFrame(pa.table({"lineno": some})).coalesce(1).write.mode("append").parquet(at)
+        if not len(some := np.fromiter(islice(numbers, 1 << 20), np.int64)):
+            return spark.read.schema("lineno long").parquet(at)
 
 
 @_register("template_file", "SELECT o_orderkey + 1 AS lineno, o_orderpriority AS priority FROM orders WHERE o_orderpriority LIKE '1%'")

@@ -105,3 +105,18 @@ def test_stream_in_bursts(spark):
 
     with pytest.raises(OSError):
         list(bursts(broken()))
+
+
+def test_backlog_of_a_stream_is_judged_together(spark, monkeypatch):
+    from sparklog.plans.builtins import builtin
+    from sparklog.streaming import pipe
+
+    text = "".join(f"2026-06-01 19:18:23,123 - a - {'ERROR' if i % 3 == 0 else 'INFO'} - {i}\n  of {i}\n" for i in range(6000))
+    asked, plain = [], pipe.parse_rows
+    monkeypatch.setattr(pipe, "parse_rows", lambda *a: asked.append(1) or plain(*a))
+    chunks = (text[i : i + 50_000] for i in range(0, len(text), 50_000))
+    got = list(pipe.follow_stream(spark, chunks, builtin("python"), "level == ERROR", most=101))
+    assert got == [x for i, x in enumerate(text.splitlines()) if i // 2 % 3 == 0]  # entries are cut by the bursts
+    assert len(asked) < 30  # 119 bursts of 101 lines
+    sizes = [len(b) for b in pipe.bursts((f"{i}\n" for i in range(1000)), 10)]
+    assert max(sizes) <= 10 and sum(sizes) == 1000
