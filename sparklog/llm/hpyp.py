@@ -12,10 +12,13 @@ also is the burn-in; predictive probabilities are averaged over the samples.
 Contexts are dealt to buckets by their last word, so that a restaurant of two words, its
 parent and all their dishes meet in one task; a bucket's two lowest levels make LOCAL sweeps,
 then the words' tables go to the words' own buckets, where the words' restaurant is seated,
-and the words' probabilities come back. A word that more than SLICE tokens follow has a
-restaurant for each of several classes of the word before it; two words that more than SLICE
-tokens follow, for each of several classes of texts. Such a restaurant still has its share of
-more than SLICE customers, and no task gets more for a common word.
+and the words' probabilities come back. The contexts after a word that more than SLICE tokens
+follow are dealt to several buckets by the word before it, and two words that more than SLICE
+tokens follow by the word after them: that changes who seats a dish, not the model. The one
+restaurant of such a word (a head) is seated beside the words' restaurant, dish by dish in the
+buckets of the words after it: it gets the tables of all buckets below it, and its
+probabilities come back. The restaurant of two such words is told the tables that it has in
+other buckets.
 
 Text is read once. A run of documents is a row of numbers of its own words; the runs' words
 meet in the words' buckets, which number them. With those numbers each run is inverted: it
@@ -282,7 +285,7 @@ def _invert(r, at: list[np.ndarray], buckets: list[int], hot: dict):
         which = np.minimum(np.searchsorted(often, key), len(often) - 1)
         hit = often[which] == key
         rows = cut[hit]
-        place[rows] += (_mix(t.crc[doc[rows]].astype(np.uint64)) % many[which[hit]].astype(np.uint64) + np.uint64(1)) << np.uint64(48)
+        place[rows] += (_mix(crc[w2[rows]].astype(np.uint64)) % many[which[hit]].astype(np.uint64) + np.uint64(1)) << np.uint64(48)
     bucket = (_mix(place) % np.uint64(len(buckets))).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16) if len(buckets) < 1 << 16 else bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(len(buckets) + 1))
@@ -309,8 +312,9 @@ _ROW = "b int, p int, rb int, run long, data binary"
 _PART = "b int, p int, words binary, shape binary, seats binary, places binary, once array<long>, twice array<long>"
 
 
-def _merge(pdf: pd.DataFrame, word_buckets: int) -> pd.DataFrame:
-    """One row with all dishes of a bucket, in order, and their places by run."""
+def _merge(pdf: pd.DataFrame, word_buckets: int, heads: np.ndarray, often: np.ndarray) -> pd.DataFrame:
+    """One row with all dishes of a bucket, in order, and their places by run. heads: ids of the
+    common words; often: pairs of their numbers (last word first) that many tokens follow."""
     pdf = pdf.sort_values("run", kind="stable")
     rows = [_unpack(x) for x in pdf["data"]]
     w1, pairs, w2, tris, w0, entries, doc, n = (np.concatenate(x) for x in zip(*rows))
@@ -325,21 +329,32 @@ def _merge(pdf: pd.DataFrame, word_buckets: int) -> pd.DataFrame:
     pair, of = _number(np.repeat(w1, pairs) * v + w2)
     tri, of = _number(np.repeat(of, tris) * v + w0)
     del w0, w1, w2, local
+    k = len(heads)
+    head = np.searchsorted(heads, ids)  # 1 + its number for a head, else 0
+    head = np.where(heads[np.minimum(head, k - 1)] == ids, head + 1, 0) if k else np.zeros(v, np.int64)
     tri_pair, w0 = np.divmod(tri, v)
     w1, w2 = np.divmod(pair, v)
+    many = np.zeros(len(tri), np.int64)  # 1 + the number of a pair that many tokens follow
+    if len(often):
+        code = (head[w1[tri_pair]] - 1) * k + head[w0] - 1
+        at = np.minimum(np.searchsorted(often, code), len(often) - 1)
+        many = np.where((often[at] == code) & (head[w1[tri_pair]] > 0) & (head[w0] > 0), at + 1, 0)
+    q, place = ids % word_buckets, ids // word_buckets
+    items, word = _number((q[w2] * (k + 1) + head[w1]) * v + w2)
+    size_of, item_head = np.bincount(items // v // (k + 1), minlength=word_buckets), items // v % (k + 1)
     learned = np.add.reduceat(n * (doc & 1), np.cumsum(entries) - entries)
     c = np.bincount(of, weights=learned, minlength=len(tri)).astype(np.int64)
     start = np.bincount(tri_pair, weights=c > 0, minlength=len(pair)).astype(np.int64)
+    start[head[w1] > 0] = 0  # counted where they are seated
     first = _edges(w1)
-    dishes = w1[first], np.diff(np.append(first, len(w1))), w2, np.bincount(tri_pair, minlength=len(pair)), w0, c
+    dishes = np.diff(np.append(first, len(w1))), word, head[w1], np.bincount(tri_pair, minlength=len(pair)), w0, c, many
     of = np.repeat(of, entries)  # each run's in order
     step, at = np.diff(of, prepend=0), np.cumsum(size) - size
     step[at] = of[at]
     places = _pack(pdf["rb"].to_numpy(np.int64), pdf["run"].to_numpy(np.int64), size, step, doc >> 1, n)
     shape = _pack(*dishes)
     own = Bucket(dishes)
-    q, asked = np.divmod(ids[own.asked], word_buckets)[::-1]
-    out = {"b": int(pdf["b"].iloc[0]), "p": int(pdf["p"].iloc[0]), "words": _pack(np.bincount(q, minlength=word_buckets), asked), "shape": shape, "seats": _pack(*astuple(own.seats())), "places": places}
+    out = {"b": int(pdf["b"].iloc[0]), "p": int(pdf["p"].iloc[0]), "words": _pack(size_of, item_head, place[items % v]), "shape": shape, "seats": _pack(*astuple(own.seats())), "places": places}
     return pd.DataFrame([out | {"once": [int((c == 1).sum()), int((start == 1).sum())], "twice": [int((c == 2).sum()), int((start == 2).sum())]}])
 
 
@@ -347,48 +362,57 @@ class Bucket:
     """The dishes of a bucket of contexts."""
 
     def __init__(self, dishes):
-        """dishes: each word before and how many pairs it has; of each pair the word, and how
-        many triples it has; of each triple the word before those, and how often it is learned."""
-        w1, pairs, w2, tris, w0, self.c = dishes
-        v = int(max(w2.max(initial=0), w0.max(initial=0))) + 1
-        self.w1 = np.repeat(np.arange(len(w1)), pairs)
-        asked = np.zeros(v, bool)
-        asked[w2] = True
-        self.asked = np.flatnonzero(asked)  # words that stand in dishes
-        self.word = (np.cumsum(asked) - 1)[w2]
-        self.pair = np.repeat(np.arange(len(w2)), tris)
+        """dishes: of each word before, how many pairs it has; of each pair the number of what is
+        asked for, the head that it follows, and how many triples it has; of each triple the word
+        before those, how often it is learned, and its context if many tokens follow that."""
+        pairs, self.word, head, tris, w0, self.c, many = dishes
+        v = int(w0.max(initial=0)) + 1
+        self.w1 = np.repeat(np.arange(len(pairs)), pairs)
+        self.items, self.told = int(self.word.max(initial=-1)) + 1, head > 0  # pairs that are seated with the words
+        self.pair = np.repeat(np.arange(len(self.word)), tris)
         self.context = _number(self.w1[self.pair] * v + w0)[1]
-        learned = np.bincount(self.pair, weights=self.c, minlength=len(w2))
-        self.single = learned == 1
-        self.low, self.high = np.flatnonzero(self.c > 1), np.flatnonzero(learned > 1)
+        self.many = np.zeros(int(self.context.max(initial=-1)) + 1, np.int64)
+        self.many[self.context] = many
+        learned = np.bincount(self.pair, weights=self.c, minlength=len(self.word))
+        self.single = (learned == 1) & ~self.told
+        self.low, self.high = np.flatnonzero(self.c > 1), np.flatnonzero((learned > 1) & ~self.told)
 
     def seats(self) -> "Seats":
         one = self.c == 1
-        at = np.zeros(len(self.word), np.int64)
+        at = len(self.high) + self.word
         at[self.high] = np.arange(len(self.high))
         contexts, group = _number(self.context[self.low])
-        alone = np.bincount(self.context[one], minlength=int(self.context.max(initial=-1)) + 1)
+        alone = np.bincount(self.context[one], minlength=len(self.many))
+        common = np.flatnonzero(self.many)
+        apart = self.pair[one & self.told[self.pair]]
         return Seats(
             self.c[self.low], group, alone[contexts], at[self.pair[self.low]], np.bincount(self.pair[one], minlength=len(self.word))[self.high],
             self.w1[self.high], np.bincount(self.w1[self.single], minlength=int(self.w1.max(initial=-1)) + 1),
-            self.word[self.high], np.bincount(self.word[self.single], minlength=len(self.asked)),
+            self.word[self.high], np.bincount(self.word[self.single], minlength=self.items) + np.bincount(self.word[apart], minlength=self.items),
+            self.many[contexts], self.many[common], alone[common], np.bincount(self.context, weights=self.c, minlength=len(self.many)).astype(np.int64)[common],
         )
 
-    def triples(self, low: Seating, high: Seating, words: np.ndarray, d: list[float]) -> np.ndarray:
-        """log probabilities of all triples."""
+    def triples(self, low: Seating, high: Seating, words: np.ndarray, d: list[float], opened: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """log probabilities of all triples. opened, customers: of the contexts that many tokens
+        follow, in all buckets."""
         c, t = self.single.astype(np.int64), self.single.astype(np.int64)
         c[self.high], t[self.high] = high.c, high.t
         pairs = _level(c, t, self.w1, np.zeros(int(self.w1.max(initial=-1)) + 1, np.int64), d[1], words[self.word])
+        pairs = np.where(self.told, words[self.word], pairs)
         t = np.minimum(self.c, 1)
         t[self.low] = low.t
-        return _level(self.c, t, self.context, np.zeros(int(self.context.max(initial=-1)) + 1, np.int64), d[0], pairs[self.pair])
+        common = np.flatnonzero(self.many)
+        known = common, customers[self.many[common]], opened[self.many[common]]
+        return _level(self.c, t, self.context, np.zeros(len(self.many), np.int64), d[0], pairs[self.pair], known)
 
 
-def _level(c, t, group, more, d, below) -> np.ndarray:
+def _level(c, t, group, more, d, below, known=None) -> np.ndarray:
     """log probabilities of dishes from those of the parent. more: tables, each of one customer,
-    that each restaurant has besides."""
+    that each restaurant has besides; known: some restaurants, and all their customers and tables."""
     total = more + np.bincount(group, weights=c, minlength=len(more))
     opened = more + np.bincount(group, weights=t, minlength=len(more))
+    if known is not None:
+        total[known[0]], opened[known[0]] = known[1:]
     with np.errstate(divide="ignore"):
         own = np.log(np.maximum(c - d * t, 0))
         return np.logaddexp(own, np.log(STRENGTH + d * opened)[group] + below) - np.log(STRENGTH + total)[group]
@@ -403,30 +427,47 @@ class Seats:
     c: np.ndarray  # customers of the low dishes, their restaurants, tables there of one customer
     group: np.ndarray
     more: np.ndarray
-    above: np.ndarray  # their pairs among the high dishes
+    above: np.ndarray  # their pairs among the high dishes, then what is asked for (pairs after heads)
     ones: np.ndarray  # customers of the high dishes from triples of one table
     of: np.ndarray  # restaurants of the high dishes, tables there of one customer
     of_more: np.ndarray
     word: np.ndarray  # words of the high dishes among those asked for
-    alone: np.ndarray  # tables of each word asked for in dishes of one customer
+    alone: np.ndarray  # tables of what is asked for in dishes of one customer
+    many: np.ndarray  # of the low dishes' restaurants: those that other buckets have too, from 1 on
+    common: np.ndarray  # all of those here, their tables of one customer, their customers
+    common_alone: np.ndarray
+    common_c: np.ndarray
 
     def first(self) -> tuple[Seating, Seating]:
         low = Seating.first(self.c)
         return low, Seating.first(self._customers(low))
 
-    def _customers(self, low: Seating) -> np.ndarray:
-        return self.ones + np.bincount(self.above, weights=low.t, minlength=len(self.ones)).astype(np.int64)
-
-    def tables(self, high: Seating) -> np.ndarray:
-        """Tables of each word that is asked for."""
-        return self.alone + np.bincount(self.word, weights=high.t, minlength=len(self.alone)).astype(np.int64)
+    def _below(self, low: Seating) -> np.ndarray:
+        return np.bincount(self.above, weights=low.t, minlength=len(self.ones) + len(self.alone)).astype(np.int64)
 
-    def sweeps(self, low: Seating, high: Seating, words: np.ndarray, d: list[float], rng) -> tuple[Seating, Seating]:
-        """words: log probabilities of the words asked for; d: discounts after two words, one."""
-        below = words[self.word]
+    def _customers(self, low: Seating) -> np.ndarray:
+        return self.ones + self._below(low)[: len(self.ones)]
+
+    def tables(self, low: Seating, high: Seating) -> np.ndarray:
+        """Tables of each word, or pair after a head, that is asked for."""
+        own = np.bincount(self.word, weights=high.t, minlength=len(self.alone)).astype(np.int64)
+        return self.alone + own + self._below(low)[len(self.ones) :]
+
+    def shared(self, low: Seating) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Restaurants that other buckets have too: numbers, tables and customers here."""
+        t = np.bincount(self.many[self.group], weights=low.t, minlength=int(self.common.max(initial=0)) + 1).astype(np.int64)
+        return self.common, self.common_alone + t[self.common], self.common_c
+
+    def sweeps(self, low: Seating, high: Seating, words: np.ndarray, d: list[float], rng, opened: np.ndarray) -> tuple[Seating, Seating]:
+        """words: log probabilities of what is asked for; d: discounts after two words, one;
+        opened: tables of the restaurants that several buckets have."""
+        below, elsewhere = words[self.word], opened.copy()
+        common, here, _ = self.shared(low)
+        elsewhere[common] -= here
+        more = self.more + elsewhere[self.many]
         for _ in range(LOCAL):
-            p = _level(high.c, high.t, self.of, self.of_more, d[1], below)[self.above]
-            low = sweep(low, low.c, p, self.group, d[0], rng, self.more)
+            p = np.concatenate([_level(high.c, high.t, self.of, self.of_more, d[1], below), words])[self.above]
+            low = sweep(low, low.c, p, self.group, d[0], rng, more)
             high = sweep(high, self._customers(low), below, self.of, d[1], rng, self.of_more)
         return low, high
 
@@ -505,38 +546,52 @@ def _seatings(raw: bytes) -> list[Seating]:
 
 
 #: Messages to buckets: of sweep k, the words' probabilities, by bucket of words; or with q = -1
-#: the seatings there.
+#: the seatings there, with q = -2 the tables and customers of contexts that other buckets share.
 _DOWN = "b int, p int, k int, q int, data binary"
-_UP, _WORDS = "q int, b int, p int, data binary", "q int, words binary, c binary, who binary, once long, twice long, opened long"
-_SEATED = "q int, data binary, grams binary, tables long, customers long"
+_UP, _WORDS = "q int, b int, p int, data binary", "q int, words binary, c binary, who binary, once long, twice long, opened long, pair_once long, pair_twice long"
+_SEATED = "q int, data binary, grams binary, tables long, customers long, heads binary"
+
+
+def _shared(seats: Seats, low: Seating, b: int, p: int) -> list[dict]:
+    return [{"q": -2, "b": b, "p": p, "data": _pack(*seats.shared(low))}] if len(seats.common) else []
 
 
 def _ask(batches):
-    """Each bucket's words, by bucket of words: places and customers at first."""
+    """Each bucket's words and pairs after heads, by bucket of words: heads, places, and
+    customers at first."""
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            seats, (size, at) = Seats(*_unpack(r.seats)), _unpack(r.words)
-            t, ends = seats.tables(seats.first()[1]), np.cumsum(size)
-            rows = zip(np.split(at, ends[:-1]), np.split(t, ends[:-1]))
-            yield pd.DataFrame([{"q": q, "b": r.b, "p": r.p, "data": _pack(x, n)} for q, (x, n) in enumerate(rows) if len(x)])
+            seats, (size, head, at) = Seats(*_unpack(r.seats)), _unpack(r.words)
+            low, high = seats.first()
+            t, ends = seats.tables(low, high), np.cumsum(size)
+            rows = zip(*(np.split(x, ends[:-1]) for x in (head, at, t)))
+            out = [{"q": q, "b": r.b, "p": r.p, "data": _pack(*x)} for q, x in enumerate(rows) if len(x[0])]
+            yield pd.DataFrame(out + _shared(seats, low, r.b, r.p))
 
 
 def _gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The words of a bucket, and which buckets of contexts ask for which."""
+    """The words of a bucket, the pairs that end in them after heads (numbered behind the words),
+    and which buckets of contexts ask for which."""
     out, right = [], right.sort_values("p")
     for r in left.itertuples(index=False):
-        got = [_unpack(x) for x in right["data"]]
-        t = np.zeros(len(_unpack(r.c)[0]), np.int64)
-        for at, n in got:
-            t[at] += n
-        who = _pack(right["p"].to_numpy(np.int64), np.array([len(at) for at, _ in got]), np.concatenate([np.diff(at, prepend=0) for at, _ in got]))
-        out.append({"q": r.q, "words": r.words, "c": r.c, "who": who, "once": int((t == 1).sum()), "twice": int((t == 2).sum()), "opened": int((t > 0).sum())})
-    return pd.DataFrame(out, columns=["q", "words", "c", "who", "once", "twice", "opened"])
-
-
-def _who(raw: bytes) -> dict[int, np.ndarray]:
-    p, size, steps = _unpack(raw)
-    return {b: np.cumsum(x) for b, x in zip(p.tolist(), np.split(steps, np.cumsum(size)[:-1]))}
+        got, v = [_unpack(x) for x in right["data"]], len(_unpack(r.c)[0])
+        number = np.concatenate([head * v + at for head, at, _ in got])
+        some = number >= v
+        pairs, of = _number(number[some])
+        number[some] = v + of
+        t = np.bincount(number, weights=np.concatenate([n for *_, n in got]), minlength=v + len(pairs)).astype(np.int64)
+        t, below = t[:v], t[v:]
+        t = t + np.bincount(pairs % v, weights=below > 0, minlength=v).astype(np.int64)
+        ends = np.cumsum([len(at) for _, at, _ in got])
+        who = _pack(right["p"].to_numpy(np.int64), np.diff(ends, prepend=0), np.concatenate([np.diff(x, prepend=0) for x in np.split(number, ends[:-1])]), pairs)
+        counts = {"once": t == 1, "twice": t == 2, "opened": t > 0, "pair_once": below == 1, "pair_twice": below == 2}
+        out.append({"q": r.q, "words": r.words, "c": r.c, "who": who} | {k: int(x.sum()) for k, x in counts.items()})
+    return pd.DataFrame(out, columns=["q", "words", "c", "who", "once", "twice", "opened", "pair_once", "pair_twice"])
+
+
+def _who(raw: bytes) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    p, size, steps, pairs = _unpack(raw)
+    return {b: np.cumsum(x) for b, x in zip(p.tolist(), np.split(steps, np.cumsum(size)[:-1]))}, pairs
 
 
 def _spelled(words: bytes, model: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -573,14 +628,17 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 (c,) = _unpack(r.c)
                 n = int((c > SLICE).sum())
-                yield pd.DataFrame({"w": _words(r.words)[:n], "n": c[:n]})
+                yield pd.DataFrame({"w": _words(r.words)[:n], "n": c[:n], "id": np.arange(n) * word_buckets + r.q})
 
-    hot: dict = {bytes(r.w): -(-r.n // SLICE) for r in vocabulary.select("words", "c").mapInPandas(frequent, "w binary, n long").collect()}
+    common = sorted(vocabulary.select("q", "words", "c").mapInPandas(frequent, "w binary, n long, id long").collect(), key=lambda r: r.id)
+    hot: dict = {bytes(r.w): -(-r.n // SLICE) for r in common}
+    heads, number = np.array([r.id for r in common], np.int64), {bytes(r.w): i for i, r in enumerate(common)}
     if hot:
         often, share = sorted(hot), SLICE / 2 / tokens  # what more than SLICE tokens follow has half of them in such runs
         pairs = runs.select("words", "tokens", "docs").mapInPandas(lambda it: _common(it, often, share), "w0 binary, w1 binary, n long")
         pairs = pairs.groupBy("w0", "w1").agg(F.sum("n").alias("n")).where(F.col("n") > SLICE / 2)
         hot |= {(bytes(r.w0), bytes(r.w1)): -(-r.n // SLICE) for r in pairs.collect()}
+    several = np.array(sorted(number[w[1]] * len(heads) + number[w[0]] for w in hot if isinstance(w, tuple)), np.int64)
 
     def invert(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -594,40 +652,55 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
 
     back = vocabulary.select("q", "c", "back").mapInPandas(_back, "rb int, run long, q int, at binary")
     rows = runs.select("rb", "run", "words", "tokens", "docs").groupBy("rb").cogroup(back.groupBy("rb")).applyInPandas(invert, _ROW)
-    parts = bucketed(rows.groupBy("b", "p").applyInPandas(lambda pdf: _merge(pdf, word_buckets), _PART), "b", tables, "hpyp_contexts")
+    parts = bucketed(rows.groupBy("b", "p").applyInPandas(lambda pdf: _merge(pdf, word_buckets, heads, several), _PART), "b", tables, "hpyp_contexts")
 
     def sums(df: DataFrame, name: str) -> list[int]:
         got = dict(df.select(F.posexplode(name).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect())
         return [got.get(k, 0) for k in range(2)]
 
-    d = [discount(*x) for x in zip(sums(parts, "once"), sums(parts, "twice"))]
+    single, double = sums(parts, "once"), sums(parts, "twice")
     asked = staged(parts.select("b", "p", "words", "seats").mapInPandas(_ask, _UP), "hpyp")
-    words = bucketed(vocabulary.select("q", "words", "c").groupBy("q").cogroup(asked.groupBy("q")).applyInPandas(_gather, _WORDS), "q", word_buckets, "hpyp_words")
-    once, twice, opened = (int(x or 0) for x in words.agg(F.sum("once"), F.sum("twice"), F.sum("opened")).first())
-    d.append(discount(once, twice))
+    words = bucketed(vocabulary.select("q", "words", "c").groupBy("q").cogroup(asked.where("q >= 0").groupBy("q")).applyInPandas(_gather, _WORDS), "q", word_buckets, "hpyp_words")
+    once, twice, opened, pair_once, pair_twice = (int(x or 0) for x in words.agg(*map(F.sum, ("once", "twice", "opened", "pair_once", "pair_twice"))).first())
+    d = [discount(*x) for x in ((single[0], double[0]), (single[1] + pair_once, double[1] + pair_twice), (once, twice))]
     own_words, shapes = words.select("q", "words", "c", "who"), parts.select("b", "p", "seats")
 
-    def seat_words(up: DataFrame, before: DataFrame | None, s: int, model, opened: int) -> DataFrame:
-        """The words' restaurant after sweep s, given the tables below it."""
+    def root(state: Seating, spelled: np.ndarray, totals: tuple[int, int]) -> np.ndarray:
+        """log probabilities of a bucket's words."""
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(state.c - d[2] * state.t, 0))
+        return np.logaddexp(own, math.log(STRENGTH + d[2] * totals[0]) + spelled) - math.log(STRENGTH + totals[1])
+
+    def seat_words(up: DataFrame, before: DataFrame | None, s: int, model, totals: tuple[int, int], of_heads: np.ndarray) -> DataFrame:
+        """The words' and heads' restaurants after sweep s, given the tables below them and all
+        tables and customers before."""
 
         def seat(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []
             for r in left.itertuples(index=False):
-                (c,) = _unpack(r.c)
-                who, customers, state = _who(r.who), np.zeros(len(c), np.int64), None
+                v, (who, pairs), state = len(_unpack(r.c)[0]), _who(r.who), None
+                customers = np.zeros(v + len(pairs), np.int64)
                 for p, data in zip(right["p"].tolist(), right["data"]):
                     if p < 0:
-                        (state,) = _seatings(data)
+                        state = _seatings(data)
                     else:
                         customers[who[p]] += _unpack(data)[-1]
                 spelled, keys, per = _spelled(r.words, model.value)
                 rng = np.random.default_rng([seed, 1, r.q, s])
+                (head, word), below = np.divmod(pairs, v), customers[v:]
+                after, state = state or (Seating.first(below), None)
+                if state and len(pairs):
+                    p, more = root(state, spelled, totals)[word], of_heads - np.bincount(head, weights=after.t, minlength=len(of_heads)).astype(np.int64)
+                    for _ in range(LOCAL):
+                        after = sweep(after, below, p, head, d[1], rng, more)
+                customers = customers[:v] + np.bincount(word, weights=after.t, minlength=v).astype(np.int64)
                 state = state or Seating.first(customers)
-                state = sweep(state, customers, spelled, np.zeros(len(c), np.int64), d[2], rng, np.array([opened - state.t.sum()]))
+                state = sweep(state, customers, spelled, np.zeros(v, np.int64), d[2], rng, np.array([totals[0] - state.t.sum()]))
                 n = np.bincount(keys, weights=np.repeat(state.t, per)).astype(np.int64)
                 gram = np.flatnonzero(n)
-                out.append({"q": r.q, "data": _states(state), "grams": _pack(gram, n[gram]), "tables": int(state.t.sum()), "customers": int(customers.sum())})
-            return pd.DataFrame(out, columns=["q", "data", "grams", "tables", "customers"])
+                out.append({"q": r.q, "data": _states(after, state), "grams": _pack(gram, n[gram]), "tables": int(state.t.sum()), "customers": int(customers.sum()),
+                            "heads": _pack(*(np.bincount(head, weights=x, minlength=len(heads) + 1).astype(np.int64) for x in (after.t, below)))})
+            return pd.DataFrame(out, columns=["q", "data", "grams", "tables", "customers", "heads"])
 
         told = up.where("q >= 0").select("q", "p", "data")
         if before is not None:
@@ -655,25 +728,28 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
         keys, n = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in got]]) for i in (0, 1))
         return Spelling(keys, n, seed + s)
 
-    def down(seated: DataFrame, s: int, model, totals: tuple[int, int]) -> DataFrame:
-        """Probabilities of the words after sweep s, for each bucket that asks."""
+    def down(seated: DataFrame, s: int, model, totals: tuple[int, int], of_heads: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """Probabilities of the words, and after heads, after sweep s, for each bucket that asks."""
 
         def tell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []
             for r, data in zip(left.itertuples(index=False), right["data"]):
-                (state,) = _seatings(data)
+                (after, state), (who, pairs) = _seatings(data), _who(r.who)
+                log = root(state, _spelled(r.words, model.value)[0], totals)
+                head, word = np.divmod(pairs, len(log))
                 with np.errstate(divide="ignore"):
-                    own = np.log(np.maximum(state.c - d[2] * state.t, 0))
-                log = np.logaddexp(own, math.log(STRENGTH + d[2] * totals[0]) + _spelled(r.words, model.value)[0]) - math.log(STRENGTH + totals[1])
-                out += [{"b": places[p], "p": p, "k": s, "q": r.q, "data": _pack(log[at])} for p, at in _who(r.who).items()]
+                    own = np.log(np.maximum(after.c - d[1] * after.t, 0))
+                tables, customers = (x[head] for x in of_heads)
+                log = np.concatenate([log, np.logaddexp(own, np.log(STRENGTH + d[1] * tables) + log[word]) - np.log(STRENGTH + customers)])
+                out += [{"b": places[p], "p": p, "k": s, "q": r.q, "data": _pack(log[at])} for p, at in who.items()]
             return pd.DataFrame(out, columns=["b", "p", "k", "q", "data"])
 
         return own_words.groupBy("q").cogroup(seated.select("q", "data").groupBy("q")).applyInPandas(tell, _DOWN)
 
     def carried(up: DataFrame, s: int) -> DataFrame:
-        return up.where("q < 0").select("b", "p", F.lit(s).alias("k"), "q", "data")
+        return up.where("q = -1").select("b", "p", F.lit(s).alias("k"), "q", "data")
 
-    def seat_contexts(told: DataFrame, s: int) -> DataFrame:
+    def seat_contexts(told: DataFrame, s: int, opened: np.ndarray) -> DataFrame:
         def seat(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []
             right = right.sort_values("q")
@@ -682,9 +758,10 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
                 says = mine[mine["q"] >= 0]
                 given = [_unpack(x)[0] for x in says["data"]]
                 state = [_seatings(x) for x in mine["data"][mine["q"] < 0]]
-                low, high = own.sweeps(*(state[0] if state else own.first()), np.concatenate(given), d, np.random.default_rng([seed, 0, r.p, s]))
+                low, high = own.sweeps(*(state[0] if state else own.first()), np.concatenate(given), d, np.random.default_rng([seed, 0, r.p, s]), opened)
                 out.append({"q": -1, "b": r.b, "p": r.p, "data": _states(low, high)})
-                for q, x in zip(says["q"].tolist(), np.split(own.tables(high), np.cumsum([len(g) for g in given])[:-1])):
+                out += _shared(own, low, r.b, r.p)
+                for q, x in zip(says["q"].tolist(), np.split(own.tables(low, high), np.cumsum([len(g) for g in given])[:-1])):
                     out.append({"q": q, "b": r.b, "p": r.p, "data": _pack(x)})
             return pd.DataFrame(out, columns=["q", "b", "p", "data"])
 
@@ -693,23 +770,40 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
     def totals_of(seated: DataFrame) -> tuple[int, int]:
         return tuple(int(x or 0) for x in seated.agg(F.sum("tables"), F.sum("customers")).first())
 
+    def heads_of(seated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and customers of the heads' restaurants, from 1 on."""
+        out = np.zeros((2, len(heads) + 1), np.int64)
+        for r in seated.select("heads").toLocalIterator() if len(heads) else ():
+            out += np.stack(_unpack(bytes(r.heads)))
+        return tuple(out)
+
+    def several_of(up: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the contexts of two words that several buckets have."""
+        out = np.zeros((2, len(several) + 1), np.int64)
+        for r in up.where("q = -2").select("data").toLocalIterator() if len(several) else ():
+            at, *x = _unpack(bytes(r.data))
+            out[:, at] += np.stack(x)
+        return tuple(out)
+
     none = np.zeros(0, np.int64)
     send = spark.sparkContext.broadcast
-    seated, up, told = seat_words(asked, None, 0, send(Spelling(none, none, 0)), opened), None, None
-    gone, kept = [], None
+    seated, up, told = seat_words(asked, None, 0, send(Spelling(none, none, 0)), (opened, 0), np.zeros(len(heads) + 1, np.int64)), None, None
+    gone, kept, of_heads, of_several, known = [], None, heads_of(seated), several_of(asked), {}
     for s in range(1, SWEEPS + 1):
         model, totals = send(spelling(seated, s - 1)), totals_of(seated)
-        told = down(seated, s - 1, model, totals)
-        new = seat_contexts(told if up is None else told.unionByName(carried(up, s - 1)), s)
-        again = seat_words(new, seated, s, model, totals[0])
+        told = down(seated, s - 1, model, totals, of_heads)
+        new = seat_contexts(told if up is None else told.unionByName(carried(up, s - 1)), s, of_several[0])
+        again = seat_words(new, seated, s, model, totals, of_heads[0])
         for old, of in ((up, s - 1), (seated, s - 1)):
             if old is not None and of <= BURN_IN:
                 drop_staged(old)
             elif old is not None:
                 gone.append(old)
         seated, up = again, new
+        of_heads, of_several = heads_of(seated), several_of(up)
+        known[s] = of_several
         if s > BURN_IN:
-            after = down(seated, s, send(spelling(seated, s)), totals_of(seated)).unionByName(carried(up, s))
+            after = down(seated, s, send(spelling(seated, s)), totals_of(seated), of_heads).unionByName(carried(up, s))
             kept = after if kept is None else kept.unionByName(after)
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The documents' sums of a bucket, by run: log10 probabilities in POINT-ths."""
@@ -717,9 +811,9 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 1) -> DataFrame:
         right = right.sort_values(["k", "q"])
         for r in left.itertuples(index=False):
             own, logs = Bucket(_unpack(r.shape)), []
-            for _, one in right[right["p"] == r.p].groupby("k"):
+            for k, one in right[right["p"] == r.p].groupby("k"):
                 given = np.concatenate([_unpack(x)[0] for x in one["data"][one["q"] >= 0]])
-                logs.append(own.triples(*_seatings(one["data"][one["q"] < 0].iloc[0]), given, d))
+                logs.append(own.triples(*_seatings(one["data"][one["q"] < 0].iloc[0]), given, d, *known[k]))
             log = np.rint((np.logaddexp.reduce(logs) - math.log(len(logs))) / math.log(10) * -POINT).astype(np.int64)
             rb, run, entries, step, doc, n = _unpack(r.places)
             ends = np.cumsum(entries)

@@ -214,6 +214,18 @@ def test_common_contexts_are_split(spark, monkeypatch):
         assert split[i].score == pytest.approx(x.score, rel=0.35)
 
 
+def test_slices_are_of_one_model(spark, monkeypatch):
+    """Common contexts that many buckets seat have the scores that they have in one."""
+    r = random.Random(5)
+    texts = [" ".join(["a b"] * r.randrange(1, 30) + [r.choice("cdefg") for _ in range(5)]) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    whole = {x.doc_id: x.score for x in hpyp.score(df).collect()}
+    monkeypatch.setattr(hpyp, "SLICE", 40)
+    split = {x.doc_id: x.score for x in hpyp.score(df).collect()}
+    assert split == pytest.approx(whole, rel=0.08)  # two seeds differ by 0.04
+    assert sum(split.values()) == pytest.approx(sum(whole.values()), rel=0.02)
+
+
 def test_spelling_is_a_distribution():
     keys = np.unique(np.random.default_rng(5).integers(0, 1 << (5 * hpyp.ORDER + 8), 4000))
     model = hpyp.Spelling(keys, np.random.default_rng(6).integers(1, 50, len(keys)), 1)
